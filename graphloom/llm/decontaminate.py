@@ -186,16 +186,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
 
 def is_leaking(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text"):
     """A list of boolean columns, one for each block of items."""
-    tests = []
-    for held in _blocks(benchmark, "item_id", "text", rate):
-
+    def test(held):
         @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, held=held) -> pd.Series:
+        def leaks(texts: pd.Series) -> pd.Series:
             index = _index(held)
             return pd.Series([bool(index.matches(t, first=True)) for t in texts], dtype=bool)
 
-        tests.append(leaks(F.col(text_col)))
-    return tests
+        return leaks(F.col(text_col))
+
+    return [test(held) for held in _blocks(benchmark, "item_id", "text", rate)]
 
 
 def op5_decontaminate(spark, sf_dir) -> DataFrame:

@@ -172,13 +172,13 @@ WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 e AS (SELECT doc_id, unnest(range(len(ls))) AS no, ls FROM d WHERE text <> ''),
 l AS (SELECT doc_id, no, string_split(trim(ls[no + 1]), ' ') AS w FROM e),
 m AS (SELECT doc_id, no, w, len(w) AS n, array_to_string(w, ' ') AS line FROM l WHERE len(w) >= {MIN_WORDS}),
-u AS (SELECT line, any_value(w) AS w, any_value(n) AS n, min((doc_id, no)) AS at FROM m GROUP BY line),
-v AS (SELECT line, at, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS h
+u AS (SELECT line, any_value(w) AS w, any_value(n) AS n, min((doc_id, no)) AS pos FROM m GROUP BY line),
+v AS (SELECT line, pos, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS h
       FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= {NEAR_WORDS})),
-p AS (SELECT a.at AS x, b.at AS y FROM v a JOIN v b ON a.h = b.h AND a.i = b.i AND a.at > b.at
-      UNION ALL SELECT greatest(a.at, b.at), least(a.at, b.at) FROM v a JOIN u b ON a.h = b.line AND b.n >= {NEAR_WORDS}),
+p AS (SELECT a.pos AS x, b.pos AS y FROM v a JOIN v b ON a.h = b.h AND a.i = b.i AND a.pos > b.pos
+      UNION ALL SELECT greatest(a.pos, b.pos), least(a.pos, b.pos) FROM v a JOIN u b ON a.h = b.line AND b.n >= {NEAR_WORDS}),
 near AS (SELECT DISTINCT x FROM p),
-g AS (SELECT m.doc_id, m.no, (u.at IN (SELECT x FROM near)) AS near, (u.at IN (SELECT x FROM near)) OR (m.doc_id, m.no) <> u.at AS gone
+g AS (SELECT m.doc_id, m.no, (u.pos IN (SELECT x FROM near)) AS near, (u.pos IN (SELECT x FROM near)) OR (m.doc_id, m.no) <> u.pos AS gone
       FROM m JOIN u USING (line)),
 s AS (SELECT doc_id, list(no) AS nos, count(*) FILTER (near) AS near, count(*) FILTER (NOT near) AS exact FROM g WHERE gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(exact, 0) AS INTEGER) AS exact, CAST(coalesce(near, 0) AS INTEGER) AS near,
