@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,12 +38,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage with data that outlives any executor.
+    Cuts the lineage with data that outlives any executor, and lets Spark drop
+    the shuffle files behind it, which nothing reads again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``save`` wrote, once nothing will read them again."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        for f in {x.rpartition("/")[0] for x in t.inputFiles()}:
+            folder = jvm.org.apache.hadoop.fs.Path(f)
+            folder.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:

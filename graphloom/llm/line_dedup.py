@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, save
+from .common import discard, doc_key, save
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
@@ -60,13 +60,55 @@ def _lines(source: DataFrame) -> DataFrame:
     """A row for each line of ``MIN_WORDS`` words or more: place, two hashes, words, edge keys."""
     rows = source.select("dk", "th", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
     rows = rows.select("dk", "th", "no", F.trim("raw").alias("line"))
-    words = F.length("line") - F.length(F.regexp_replace("line", " ", "")) + 1
+    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     rows = rows.withColumn("words", words).where(F.col("words") >= MIN_WORDS)
     return rows.select(
         "dk", "th", "no", "line", "words", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2")
     )
 
 
+def _neighbourhood() -> Column:
+    """Of a line's words ``w`` the hashes of the line and of each variant without one word.
+
+    A hash is the sum of hashes of (word, place), so that a variant's follows
+    from prefix sums: words behind the gap count with a place less. Sums over
+    blocks of about the square root of the length keep long lines cheap.
+    """
+    n = F.size("w")
+
+    def term(x, j):
+        return F.shiftrightunsigned(F.xxhash64(x, j), 20)
+
+    def total(xs):
+        return F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+    here = F.transform("w", lambda x, j: term(x, j))
+    moved = F.transform("w", lambda x, j: term(x, j - 1))
+    step = F.ceil(F.sqrt(n)).cast("int")
+    row = F.struct(here.alias("here"), moved.alias("moved"), step.alias("step"))
+
+    def of(r):
+        shift = F.zip_with(r["here"], r["moved"], lambda a, b: a - b)
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(r["here"]) - 1) / r["step"]).cast("int")), lambda b: total(F.slice(shift, b * r["step"] + 1, r["step"])))
+        return F.struct(r["here"].alias("here"), r["moved"].alias("moved"), r["step"].alias("step"), shift.alias("shift"), blocks.alias("blocks"), total(r["moved"]).alias("all"))
+
+    def heads(r):
+        before = F.transform(r["blocks"], lambda _, b: total(F.slice(r["blocks"], F.lit(1), b)))
+        return F.struct(r["here"].alias("here"), r["moved"].alias("moved"), r["step"].alias("step"), r["shift"].alias("shift"), before.alias("before"), r["all"].alias("all"))
+
+    def hashes(r):
+        def without(m, j):
+            b = (j / r["step"]).cast("int")
+            return r["all"] + F.get(r["before"], b) + total(F.slice(r["shift"], b * r["step"] + 1, j - b * r["step"])) - m
+
+        return F.concat(F.array(total(r["here"])), F.transform(r["moved"], without))
+
+    stages = F.array(row)
+    for f in (of, heads):
+        stages = F.transform(stages, f)
+    return F.flatten(F.transform(stages, hashes))
+
+
 def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``dk, th, no, near``: every line to remove; ``near`` tells lines that only resemble an earlier one."""
     source = _keyed(docs, id_col, text_col).where(F.length("text") > 0)
@@ -84,38 +126,39 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edge = distinct.select("dk", "th", "no", F.explode("edges").alias("edge"))
     shared = edge.groupBy("edge").count().where(F.col("count") > 1).select("edge")
     chosen = edge.join(shared, "edge", "left_semi").groupBy("dk", "th").agg(F.collect_set("no").alias("nos"))
-    texts = source.join(chosen, ["dk", "th"]).dropDuplicates(["dk", "th"])
-    texts = texts.select("dk", "th", F.split("text", "\n").alias("all"), F.explode("nos").alias("no"))
-    texts = save(texts.select(place.alias("at"), F.split(F.trim(F.get("all", F.col("no"))), " ").alias("w")), "near-lines")
-
-    # 3. the deletion neighbourhood
-    n = F.size("w")
-    variants = texts.select("at", "w", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    held = F.concat_ws(" ", F.slice("w", 1, F.col("i") - 1), F.slice("w", F.col("i") + 1, n))
-    variants = variants.select("at", "i", held.alias("held")).select(
-        "at", "i", F.xxhash64("held").alias("h1"), F.xxhash64(F.lit(7), F.col("held")).alias("h2")
-    )
-    variants = save(variants, "variants")
-    first = variants.groupBy("h1", "h2", "i").agg(F.min("at").alias("keep"), F.max("at").alias("last")).where(F.col("keep") < F.col("last"))
-    replaced = variants.join(first.drop("last"), ["h1", "h2", "i"]).where(F.col("at") != F.col("keep"))
-    replaced = replaced.select("at", "keep", "i", F.col("i").alias("j"))
-    line = F.concat_ws(" ", "w")
-    whole = texts.select(F.col("at").alias("whole"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"))
-    longer = variants.join(whole, ["h1", "h2"]).where(F.col("at") != F.col("whole"))
+    texts = source.join(chosen, ["dk", "th"]).select("dk", "th", F.split("text", "\n").alias("all"), F.explode("nos").alias("no"))
+    texts = texts.select("dk", "th", "no", F.split(F.trim(F.get("all", F.col("no"))), " ").alias("w")).dropDuplicates(["dk", "th", "no"])
+    # ids ascend with the place: partitions are ranges of it and each is sorted
+    texts = texts.repartitionByRange("dk", "th", "no").sortWithinPartitions("dk", "th", "no")
+    texts = save(texts.select(F.monotonically_increasing_id().alias("id"), place.alias("at"), "w"), "near-lines")
+
+    # 3. the deletion neighbourhood: place 0 is the whole line
+    hashed = texts.select("id", F.posexplode(_neighbourhood()).alias("i", "h"))
+    variants = save(hashed, "variants")
+    shared = variants.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where(F.col("a") < F.col("b")).select("h")
+    joined = save(variants.join(shared, "h", "left_semi"), "shared-variants")
+    discard(variants)
+    inside = joined.where(F.col("i") > 0)
+    first = inside.groupBy("h", "i").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    replaced = inside.join(first.drop("c"), ["h", "i"]).where(F.col("id") != F.col("keep"))
+    replaced = replaced.select("id", "keep", "i", F.col("i").alias("j"))
+    whole = joined.where(F.col("i") == 0).select(F.col("id").alias("whole"), "h")
+    longer = inside.join(whole, "h").where(F.col("id") != F.col("whole"))
+    later = F.col("id") > F.col("whole")
     deleted = longer.select(
-        F.greatest("at", "whole").alias("at"), F.least("at", "whole").alias("keep"),
-        F.when(F.col("at") > F.col("whole"), F.col("i")).otherwise(0).alias("i"),
-        F.when(F.col("at") > F.col("whole"), 0).otherwise(F.col("i")).alias("j"),
+        F.greatest("id", "whole").alias("id"), F.least("id", "whole").alias("keep"),
+        F.when(later, F.col("i")).otherwise(0).alias("i"), F.when(later, 0).otherwise(F.col("i")).alias("j"),
     )
 
     # 4. verification of the words themselves; place 0 removes none
     def without(w: str, i: str) -> Column:
-        rest = F.concat(F.slice(w, 1, F.col(i) - 1), F.slice(w, F.col(i) + 1, F.size(w)))
+        rest = F.concat(F.slice(w, F.lit(1), F.col(i) - 1), F.slice(w, F.col(i) + 1, F.size(w)))
         return F.when(F.col(i) == 0, F.col(w)).otherwise(rest)
 
-    pairs = replaced.unionByName(deleted).distinct()
-    pairs = pairs.join(texts.select("at", F.col("w").alias("a")), "at").join(texts.select(F.col("at").alias("keep"), F.col("w").alias("b")), "keep")
-    near = pairs.where(without("a", "i") == without("b", "j")).select("at").distinct()
+    pairs = replaced.unionByName(deleted).groupBy("id", "keep").agg(F.min(F.struct("i", "j")).alias("p")).select("id", "keep", "p.*")
+    pairs = pairs.join(texts.select("id", "at", F.col("w").alias("a")), "id").join(texts.select(F.col("id").alias("keep"), F.col("w").alias("b")), "keep")
+    near = save(pairs.where(without("a", "i") == without("b", "j")).select("at").distinct(), "near")
+    discard(joined, texts)
 
     # all occurrences of what goes
     near = near.select("at.*", F.lit(True).alias("near"))

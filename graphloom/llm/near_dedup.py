@@ -13,11 +13,12 @@ band.
 1. Equal texts form a class, represented by its least id.
 2. Signatures of ``BANDS`` bands of ``ROWS`` coordinates become bucket keys; a
    pair of similarity 0.8 shares none with a probability of 4e-6.
-3. In rounds, each bucket's best connected member (the one that meets the most
-   others in all its buckets) is compared with the rest, by the exact Jaccard
-   similarity of their shingle sets. Who is similar enough is linked and leaves
-   the bucket; the others go on to the next round with another leader, until no
-   bucket holds two. A bucket of n members costs n rows a round, never all pairs.
+3. In rounds, each bucket's best connected members (those that meet the most
+   others in all their buckets; one, then two, up to ``LEADERS``) are compared
+   with the members of other components, by the exact Jaccard similarity of
+   their shingle sets, and leave the bucket. Links join components; a bucket is
+   done when its members are all of one. A bucket of n members costs n rows a
+   leader, and most buckets end after the first round, never with all pairs.
 4. Linked classes are joined to components, each named by its least id.
 
 Cases: null and empty texts hold no shingle and are linked with one another
@@ -33,16 +34,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import chunks, doc_key, save, text_key
+from .common import chunks, discard, doc_key, save, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
+LEADERS = 16
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -198,9 +200,8 @@ def components(links: DataFrame) -> DataFrame:
         step = names.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = names.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         step = save(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "names")
-        changed = step.where(F.col("old") != F.col("comp")).limit(1).count()
         names = step.select("node", "comp")
-        if not changed:
+        if not step.where(F.col("old") != F.col("comp")).take(1):
             return names
 
 
@@ -226,34 +227,31 @@ def near_duplicates(
     shared = bands_of.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
     held = save(bands_of.join(shared, "bucket", "left_semi").distinct(), "buckets")
     sizes = held.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others"))
-    degree = held.join(sizes, "bucket").groupBy("rep").agg(F.sum("others").alias("degree"))
-    held = save(held.join(degree, "rep"), "buckets")
+    degree = save(held.join(sizes, "bucket").groupBy("rep").agg(F.sum("others").alias("degree")), "degrees")
+    held = save(held.join(degree, "rep").withColumn("comp", F.col("rep")), "buckets")
     sets = save(shingle_sets(keyed.join(degree.select(F.col("rep").alias("dk")), "dk", "left_semi").select("dk", "text")), "shingles")
+    discard(signed)
 
     # 3. rounds of leaders
-    found = []
-    tested = None
+    pairs = docs.sparkSession.createDataFrame([], "a long, b long")
+    turn = 0
     while held.take(1):
-        leaders = held.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("m"))).alias("top"))
-        led = held.join(leaders, "bucket").select("bucket", "rep", "degree", (-F.col("top.m")).alias("lead")).where(F.col("rep") != F.col("lead"))
-        led = save(led, "led")
-        pairs = led.select("lead", "rep").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["lead", "rep"], "left_anti")
+        width = min(1 << turn, LEADERS)
+        turn += 1
+        best = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "rep"))
+        leaders = held.withColumn("r", best).where(F.col("r") <= width).select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"))
+        met = held.join(leaders, "bucket").where(F.col("comp") != F.col("led")).select("lead", "rep", "led", "comp").distinct()
         left, right = sets.select(F.col("dk").alias("rep"), F.col("grams").alias("x")), sets.select(F.col("dk").alias("lead"), F.col("grams").alias("y"))
-        judged = pairs.join(left, "rep").join(right, "lead").select("lead", "rep", jaccard("x", "y").alias("s"))
-        judged = save(judged.groupBy("lead", "rep").agg(F.max("s").alias("s")), "judged")
-        found.append(judged.where(F.col("s") >= similarity).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-        verdicts = judged.select("lead", "rep", (F.col("s") >= similarity).alias("linked"))
-        tested = verdicts if tested is None else save(tested.unionByName(verdicts), "tested")
-        rest = led.join(tested, ["lead", "rep"]).where(~F.col("linked")).select("bucket", "rep", "degree")
-        several = rest.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
+        judged = met.join(left, "rep").join(right, "lead").where(jaccard("x", "y") >= similarity)
+        found = save(judged.select("lead", "rep", "led", "comp"), "links")
+        pairs = pairs.union(found.select("lead", "rep"))
+        rest = held.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
+        names = components(found.select(F.col("led").alias("a"), F.col("comp").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+        rest = rest.join(names, "comp", "left").select("bucket", "rep", "degree", F.coalesce("now", "comp").alias("comp"))
+        several = rest.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
         held = save(rest.join(several, "bucket", "left_semi"), "buckets")
 
     # 4. components; copies hang on their representative
-    pairs = docs.sparkSession.createDataFrame([], "a long, b long")
-    for f in found:
-        pairs = pairs.union(f)
     same_id = members.groupBy("dk").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where(F.col("a") != F.col("b")).select("a", "b")
     names = components(pairs.union(same_id))
     out = members.join(names.withColumnRenamed("node", "rep"), "rep", "left")
