@@ -14,7 +14,7 @@ band.
 2. Signatures of ``BANDS`` bands of ``ROWS`` coordinates become bucket keys; a
    pair of similarity 0.8 shares none with a probability of 4e-6.
 3. In rounds, each bucket's best connected members (those that meet the most
-   others in all their buckets; one, then two, up to ``LEADERS``) are compared
+   others in all their buckets; one, then four, up to ``LEADERS``) are compared
    with the members of other components, by the exact Jaccard similarity of
    their shingle sets, and leave the bucket. Links join components; a bucket is
    done when its members are all of one. A bucket of n members costs n rows a
@@ -44,7 +44,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
-LEADERS = 16
+LEADERS = 64
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -236,7 +236,7 @@ def near_duplicates(
     pairs = docs.sparkSession.createDataFrame([], "a long, b long")
     turn = 0
     while held.take(1):
-        width = min(1 << turn, LEADERS)
+        width = min(4**turn, LEADERS)
         turn += 1
         best = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "rep"))
         leaders = held.withColumn("r", best).where(F.col("r") <= width).select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"))
@@ -246,8 +246,9 @@ def near_duplicates(
         found = save(judged.select("lead", "rep", "led", "comp"), "links")
         pairs = pairs.union(found.select("lead", "rep"))
         rest = held.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
-        names = components(found.select(F.col("led").alias("a"), F.col("comp").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
-        rest = rest.join(names, "comp", "left").select("bucket", "rep", "degree", F.coalesce("now", "comp").alias("comp"))
+        if found.take(1):
+            names = components(found.select(F.col("led").alias("a"), F.col("comp").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+            rest = rest.join(names, "comp", "left").select("bucket", "rep", "degree", F.coalesce("now", "comp").alias("comp"))
         several = rest.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
         held = save(rest.join(several, "bucket", "left_semi"), "buckets")
 
