@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GraphQueryError
 
-_SPACE = r"[\s\u0085   -     　]+"
+_SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
 def _c(x) -> Column:
