@@ -177,16 +177,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     keyed = docs.withColumn(dk, doc_key(F.col(id_col), F.col(text_col))).withColumn(th, F.xxhash64(text_col))
     out = keyed.join(gone, [dk, th], "left")
-    all_lines = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__line_gone"))
-    out = out.withColumn("__line_kept", F.when(F.col("__line_gone").isNotNull(), kept))
-    lines = F.transform("__line_kept", lambda i: F.get(F.split(F.col(text_col), "\n"), i))
-    removed = F.coalesce(F.size("__line_gone"), F.lit(0))
-    removed = F.when(F.col("__line_gone").isNull(), 0).otherwise(removed)
-    total = F.when(F.length(text_col) > 0, F.size(all_lines)).otherwise(0)
+    # only texts that lose lines are split
+    out = out.withColumn("__line_all", F.when(F.col("__line_gone").isNotNull(), F.split(F.col(text_col), "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__line_all") - 1), F.col("__line_gone"))
+    lines = F.transform(kept, lambda i: F.get(F.col("__line_all"), i))
+    out = out.withColumn("__line_text", F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")))
+    removed = F.when(F.col("__line_gone").isNull(), 0).otherwise(F.size("__line_gone"))
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    total = F.when(F.octet_length(text_col) > 0, breaks + 1).otherwise(0)
     near = F.coalesce("__line_near", F.lit(0)).cast("int")
     out = out.withColumn("lines_removed", F.struct((removed - near).alias("exact"), near.alias("near"), (total - removed).alias("kept")))
-    out = out.withColumn("__line_text", F.when(F.col("__line_kept").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")))
     columns = [F.col("__line_text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*columns, "lines_removed")
 
