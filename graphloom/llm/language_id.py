@@ -170,11 +170,12 @@ def train(
 
 def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
     """Add the struct column ``language``: ``lang_pred``, ``score``. Reads the text alone."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: 2^20 slots
+    parts = (model.languages, model.masks, model.false_rate, model.fallback)
+    held = docs.sparkSession.sparkContext.broadcast(parts)  # a fixed size: 2^20 slots
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        labels, scores = held.value.decide(texts)
+        labels, scores = LanguageFilter(*held.value).decide(texts)
         return pd.DataFrame({"lang_pred": labels, "score": scores})
 
     return docs.withColumn("language", judge(F.col(text_col)))

@@ -13,12 +13,15 @@ band.
 1. Equal texts form a class, represented by its least id.
 2. Signatures of ``BANDS`` bands of ``ROWS`` coordinates become bucket keys; a
    pair of similarity 0.8 shares none with a probability of 4e-6.
-3. In rounds, each bucket's best connected members (those that meet the most
-   others in all their buckets; one, then four, up to ``LEADERS``) are compared
-   with the members of other components, by the exact Jaccard similarity of
-   their shingle sets, and leave the bucket. Links join components; a bucket is
-   done when its members are all of one. A bucket of n members costs n rows a
-   leader, and most buckets end after the first round, never with all pairs.
+3. In rounds, each bucket's leaders are compared with its members of other
+   components, by the exact Jaccard similarity of their shingle sets, and leave
+   the bucket. Links join components; a bucket is done when its members are all
+   of one. In the first round the leader is the best connected member (the one
+   that meets the most others in all its buckets), which joins most of a group
+   at once; later leaders come from a bucket's smallest components, so that a
+   large component is met by the few strangers in its buckets and never by
+   itself. Buckets of many components are dealt anew by pairs of buckets. A
+   bucket of n members costs n rows a leader, never all pairs.
 4. Linked classes are joined to components, each named by its least id.
 
 Cases: null and empty texts hold no shingle and are linked with one another
@@ -205,6 +208,24 @@ def components(links: DataFrame) -> DataFrame:
             return names
 
 
+def _split_diverse(held: DataFrame) -> DataFrame:
+    """Deal the members of buckets with more than ``LEADERS`` strangers to the largest component by pairs of such buckets.
+
+    Like members share two buckets at least (but for 5e-5 of pairs at 0.8). If
+    one of them is not among these, they are compared there; else they meet in
+    a pair, while members that only share one common passage do not.
+    """
+    mates = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    diverse = mates.groupBy("bucket").agg((F.sum("c") - F.max("c")).alias("strangers")).where(F.col("strangers") > LEADERS).select("bucket")
+    diverse = save(diverse, "diverse")
+    own = held.join(diverse, "bucket", "left_semi").groupBy("rep", "degree", "comp").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice(F.col("own"), i + 2, F.size("own")), lambda y: F.xxhash64(x, y))))
+    keyed = own.select(F.explode(pairs).alias("bucket"), "rep", "degree", "comp")
+    several = keyed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
+    columns = ["bucket", "rep", "degree", "comp"]
+    return held.join(diverse, "bucket", "left_anti").select(*columns).unionByName(keyed.join(several, "bucket", "left_semi").select(*columns))
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -236,10 +257,14 @@ def near_duplicates(
     pairs = docs.sparkSession.createDataFrame([], "a long, b long")
     turn = 0
     while held.take(1):
-        width = min(4**turn, LEADERS)
+        width = min(16**turn, LEADERS)
         turn += 1
-        best = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "rep"))
-        leaders = held.withColumn("r", best).where(F.col("r") <= width).select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"))
+        order = [F.desc("degree"), "rep"]
+        ranked = held
+        if turn > 1:
+            ranked = held.join(held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("mates")), ["bucket", "comp"])
+            order = ["mates", *order]
+        leaders = ranked.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("r") <= width).select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"))
         met = held.join(leaders, "bucket").where(F.col("comp") != F.col("led")).select("lead", "rep", "led", "comp").distinct()
         left, right = sets.select(F.col("dk").alias("rep"), F.col("grams").alias("x")), sets.select(F.col("dk").alias("lead"), F.col("grams").alias("y"))
         judged = met.join(left, "rep").join(right, "lead").where(jaccard("x", "y") >= similarity)
@@ -250,7 +275,8 @@ def near_duplicates(
             names = components(found.select(F.col("led").alias("a"), F.col("comp").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
             rest = rest.join(names, "comp", "left").select("bucket", "rep", "degree", F.coalesce("now", "comp").alias("comp"))
         several = rest.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
-        held = save(rest.join(several, "bucket", "left_semi"), "buckets")
+        held = rest.join(several, "bucket", "left_semi")
+        held = save(_split_diverse(held) if turn == 1 else held, "buckets")
 
     # 4. components; copies hang on their representative
     same_id = members.groupBy("dk").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where(F.col("a") != F.col("b")).select("a", "b")
