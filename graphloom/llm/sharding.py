@@ -6,7 +6,8 @@ group's part in one shard asks to move to the shard that holds most of the
 group, and asks are admitted up to the room that shard has under its quota. A
 part moves as a whole, so cut edges only fall. In the end documents without
 links fill the shards up to their exact quota; linked documents beyond a quota
-(as of a group larger than a shard) overflow into the pool that fills others.
+overflow into the pool that fills others, and groups larger than a shard fill
+the last shards one behind the other.
 
 The law is ``rows``: shard sizes differ by one document at most.
 
@@ -81,7 +82,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     total = base.count()
     quotas = [total // shards + (t < total % shards) for t in range(shards)]
     start = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard")
-    linked = save(base.where(F.col("group_size") > 1).select("rid", *group, start), "linked")
+    fits = F.col("group_size").between(2, max(1, min(quotas)))
+    linked = save(base.where(fits).select("rid", *group, start), "linked")
     linked = propagate(linked, shards, min(quotas))
 
     # linked rows within a shard's quota stay; all others form the pool that fills the shards
@@ -89,7 +91,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     placed = save(_numbered(linked.select("rid", "shard"), ["shard"], total, "at").withColumn("stays", F.col("at") < quota), "placed")
     held = {r["shard"]: r["n"] for r in placed.where("stays").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     pool = base.where(F.col("group_size") == 1).select("rid").unionByName(placed.where(~F.col("stays")).select("rid"))
-    pool = _numbered(pool, [], total, "at")
+    pool = save(_numbered(pool, [], total, "at"), "pool").select("rid", "at")
+    # groups larger than a shard, fewer than there are shards, fill what is left one behind the other
+    large = base.where((F.col("group_size") > 1) & ~fits)
+    at = pool.count()
+    for r in large.select(*group, "group_size").distinct().orderBy(*group).collect() if total else []:
+        one = large.where((F.col("g") == r["g"]) & (F.col("size") == r["size"]) & (F.col("text_crc32") == r["text_crc32"])).select("rid")
+        pool = pool.unionByName(_numbered(one, [], total, "at").select("rid", (F.col("at") + at).alias("at")))
+        at += r["group_size"]
     ends, at = [], 0
     for t in range(shards):
         at += quotas[t] - held.get(t, 0)
