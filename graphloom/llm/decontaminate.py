@@ -4,8 +4,12 @@ Texts and items are compared lower-cased with runs of anything but letters and
 digits as one blank. An item of ``m`` characters may differ in
 ``floor(rate * m)`` edits; it is cut into one piece more than that, so any
 passage within the budget holds one piece unchanged. One Aho-Corasick pass over
-a text finds all pieces of all items; each hit fixes a window in which Myers'
-bit-parallel algorithm finds the least distance of the item to any passage.
+a text finds all pieces of all items. Pieces are the leaves of a tree of halves:
+an occurrence within the budget has a leaf without an error all of whose
+ancestors, of ``n`` pieces each, hold ``n - 1`` errors at most. So a hit climbs
+from small ancestors to larger ones, each tested by Myers' bit-parallel distance
+in its own small window, and most false hits end at the first. What arrives at
+the root fixes the window in which the item's least distance is found.
 
 Items come in blocks of bounded size; each block is one pass over the texts, so
 neither memory nor what is broadcast grows with the benchmark.
@@ -75,20 +79,51 @@ class Myers:
         return least, end
 
 
+class Item:
+    """An item, its pieces, and of each piece the ancestors below the root: (start, end, errors, Myers)."""
+
+    def __init__(self, item_id: int, text: str, budget: int):
+        self.id, self.text, self.budget = item_id, text, budget
+        self.pieces = pieces(text, budget)
+        self.forward, self.backward = Myers(text), Myers(text[::-1])
+        self.paths: list[list[tuple[int, int, int, Myers]]] = [[] for _ in self.pieces]
+        self._halve(0, len(self.pieces), True)
+
+    def _halve(self, a: int, b: int, root: bool) -> None:
+        if b - a < 2:
+            return
+        self._halve(a, (a + b) // 2, False)
+        self._halve((a + b) // 2, b, False)
+        if not root:
+            start, end = self.pieces[a][0], self.pieces[b - 1][0] + len(self.pieces[b - 1][1])
+            node = (start, end, b - a - 1, Myers(self.text[start:end]))
+            for j in range(a, b):
+                self.paths[j].append(node)
+
+    def plausible(self, text: str, j: int, at: int) -> bool:
+        """Whether all ancestors of the piece found at ``at`` hold within their errors around it."""
+        shift = at - self.pieces[j][0]
+        for start, end, errors, myers in self.paths[j]:
+            lo = shift + start - errors
+            if myers.best(text[lo if lo > 0 else 0 : shift + end + errors])[0] > errors:
+                return False
+        return True
+
+
 class PieceIndex:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = []
+        self.items: list[Item] = []
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normal(text)
             if not t:
                 continue
-            budget = int(rate * len(t))
-            for at, piece in pieces(t, budget):
-                where.setdefault(piece, []).append((len(self.items), at))
-            self.items.append((item_id, t, budget, Myers(t), Myers(t[::-1])))
+            item = Item(item_id, t, int(rate * len(t)))
+            for j, (_, piece) in enumerate(item.pieces):
+                where.setdefault(piece, []).append((len(self.items), j))
+            self.items.append(item)
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -102,24 +137,32 @@ class PieceIndex:
             return []
         starts: dict[int, set[int]] = {}
         for end, (n, places) in self.automaton.iter(t):
-            for i, at in places:
-                starts.setdefault(i, set()).add(end - n + 1 - at)
+            at = end - n + 1
+            for i, j in places:
+                item = self.items[i]
+                start = at - item.pieces[j][0]
+                if start in starts.get(i, ()):
+                    continue
+                if t.startswith(item.text, start) if start >= 0 else False:
+                    starts.setdefault(i, set()).add(start)
+                elif item.plausible(t, j, at):
+                    starts.setdefault(i, set()).add(start)
         out = []
         for i, found in starts.items():
-            item_id, pattern, budget, forward, backward = self.items[i]
+            item = self.items[i]
             best = None
-            for lo, hi in _windows(sorted(found), budget, len(pattern)):
+            for lo, hi in _windows(sorted(found), item.budget, len(item.text)):
                 lo = max(0, lo)
-                window = t[lo : hi]
-                exact = window.find(pattern)
-                d, e = (0, exact + len(pattern)) if exact >= 0 else forward.best(window)
-                if d <= budget and (best is None or d < best[0]):
-                    _, back = backward.best(window[:e][::-1])
+                window = t[lo:hi]
+                exact = window.find(item.text)
+                d, e = (0, exact + len(item.text)) if exact >= 0 else item.forward.best(window)
+                if d <= item.budget and (best is None or d < best[0]):
+                    _, back = item.backward.best(window[:e][::-1])
                     best = (d, lo + e - back, lo + e)
                     if first or d == 0:
                         break
             if best:
-                out.append((item_id, *best))
+                out.append((item.id, *best))
                 if first:
                     break
         return out

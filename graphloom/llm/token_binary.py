@@ -36,7 +36,10 @@ from .common import executors_hint, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+SHORT = 9  # letters; longer words with marks or capitals are put together anew
+MARKS = ".,;:!?*#%&$)"
+LATIN_END = "\u0250"
 
 MANIFEST = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()),
@@ -48,8 +51,10 @@ class WordCache(dict):
     """Token bytes by white-space separated word, from the tokenizer itself.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in order. A word of ASCII letters with one
-    mark behind is looked up in two parts, which the tokenizer splits as well.
+    text are those of its words in order. It also lower-cases, and splits marks
+    from the letters before them; so a word of Latin letters is looked up in
+    lower case, and marks behind it (but no apostrophe, which it treats on its
+    own) by themselves. A full cache keeps what it has: frequent words come early.
     """
 
     def __init__(self, tokenizer, dtype: str):
@@ -57,16 +62,17 @@ class WordCache(dict):
         self.tokenizer, self.dtype = tokenizer, dtype
 
     def __missing__(self, word: str) -> bytes:
-        head, tail = word[:-1], word[-1:]
-        if tail in ".," and head.isascii() and head.isalpha():
-            out = self[head.lower()] + self[tail]
-        elif word.isascii() and word.isalpha() and not word.islower():
-            out = self[word.lower()]
-        else:
-            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out
+        head = word.rstrip(MARKS)
+        if head.isalpha() and (head.isascii() or max(head) < LATIN_END and "\u0130" not in head):
+            lower = head.lower()
+            if lower != word:
+                out = self[lower] + self[word[len(head):]]
+                if len(word) <= SHORT:
+                    self[word] = out
+                return out
+        out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        if len(self) < CACHE_WORDS:
+            self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
