@@ -21,6 +21,8 @@ no shard and no row; other columns are not read.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
 import zlib
 
@@ -90,6 +92,19 @@ def load_tokenizer(path: str | None = None):
     return Tokenizer.from_file(path)
 
 
+def worker_cache(tokenizer_path: str | None, end_id: int) -> WordCache:
+    """One cache for all tasks of a worker process, which Spark uses again and again."""
+    state = sys.modules.setdefault("_graphloom_worker", types.ModuleType("_graphloom_worker"))
+    caches = state.__dict__.setdefault("words", {})
+    key = (tokenizer_path, end_id)
+    if key not in caches:
+        tokenizer = load_tokenizer(tokenizer_path)
+        small = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65536
+        caches.clear()
+        caches[key] = WordCache(tokenizer, "<u2" if small else "<u4")
+    return caches[key]
+
+
 def _fs(uri: str):
     """File system and path of a folder; local folders are memory-mapped, others read whole."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -129,15 +144,13 @@ def write_token_files(
     def write(batches):
         from pyspark import TaskContext
 
-        tokenizer, cache, out, totals = None, None, None, [0, 0]
+        cache, out, totals = None, None, [0, 0]
         for batch in batches:
             if out is None:
                 if not batch.num_rows:
                     continue
-                tokenizer = load_tokenizer(tokenizer_path)
-                small = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65536
-                dtype = "<u2" if small else "<u4"
-                cache = WordCache(tokenizer, dtype)
+                cache = worker_cache(tokenizer_path, end_id)
+                dtype = cache.dtype
                 fs, root = _fs(folder)
                 shard = TaskContext.get().partitionId()
                 name = f"{root}/shard-{shard:06d}-{dtype[1:]}-{uuid.uuid4().hex}"
