@@ -195,7 +195,7 @@ def project_segment(g):
 
 
 @query("""SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: len(x) > 4)) AS n_long, list_contains(w, 'the') AS has_the,
-len(list_filter(w, lambda x: len(x) >= 1)) = len(w) AS all_some, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS total,
+len(list_filter(w, lambda x: len(x) >= 1)) = len(w) AS all_some, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS total,
 coalesce(w[1], '') AS first_word FROM (SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS w FROM documents) t""")
 def project_collection(g):
     def shape(n):
