@@ -20,8 +20,10 @@ band.
    that meets the most others in all its buckets), which joins most of a group
    at once; later leaders come from a bucket's smallest components, so that a
    large component is met by the few strangers in its buckets and never by
-   itself. Buckets of many components are dealt anew by pairs of buckets. A
-   bucket of n members costs n rows a leader, never all pairs.
+   itself. A bucket that would still cost many comparisons is dealt anew by
+   what its members do not share with a leader (see ``_deal``), which is exact:
+   a large group's strangers then only meet the members that they can equal.
+   A bucket of n members costs n rows a leader, never all pairs.
 4. Linked classes are joined to components, each named by its least id.
 
 Cases: null and empty texts hold no shingle and are linked with one another
@@ -48,6 +50,7 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 LEADERS = 64
+CROWD = 1024
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -167,16 +170,16 @@ def signatures(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFr
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """From ``dk, text``: ``dk, grams``, the sorted distinct shingle hashes as bytes."""
+    """From ``dk, text``: ``dk, n, grams``, the sorted distinct shingle hashes as bytes, and how many."""
     def collect(frames):
         for pdf in frames:
             texts = pdf["text"].tolist()
             for a, b in chunks(texts, 2_000_000):
                 h, o, _ = _distinct(*shingles(texts[a:b]))
                 cuts = np.searchsorted(o, np.arange(b - a + 1))
-                yield pd.DataFrame({"dk": pdf["dk"].iloc[a:b].to_numpy(), "grams": [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(b - a)]})
+                yield pd.DataFrame({"dk": pdf["dk"].iloc[a:b].to_numpy(), "n": np.diff(cuts), "grams": [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(b - a)]})
 
-    return docs.mapInPandas(collect, "dk long, grams binary")
+    return docs.mapInPandas(collect, "dk long, n long, grams binary")
 
 
 @F.pandas_udf(DoubleType())
@@ -208,22 +211,74 @@ def components(links: DataFrame) -> DataFrame:
             return names
 
 
-def _split_diverse(held: DataFrame) -> DataFrame:
-    """Deal the members of buckets with more than ``LEADERS`` strangers to the largest component by pairs of such buckets.
+def _residuals(members: DataFrame, similarity: float) -> DataFrame:
+    """From ``key, rep, degree, comp, led, low, x, y``: of each member the keys of its residual's prefix, its size, and its overlap with the pivot."""
+    share = similarity / (1 + similarity)
 
-    Like members share two buckets at least (but for 5e-5 of pairs at 0.8). If
-    one of them is not among these, they are compared there; else they meet in
-    a pair, while members that only share one common passage do not.
+    def reduce(frames):
+        for pdf in frames:
+            buckets, sizes, overlaps = [], [], []
+            for key, low, x, y in zip(pdf["key"], pdf["low"], pdf["x"], pdf["y"], strict=True):
+                own = np.frombuffer(x, _U)
+                n = len(own)
+                own = np.setdiff1d(own, np.frombuffer(y, _U), assume_unique=True)
+                both = n - len(own)
+                needed = max(1, math.ceil(share * (n + max(low, similarity * n)) - 1e-9) - both)
+                salt = _mix(np.array([key], np.int64).view(_U))
+                buckets.append(_mix(salt + own[: max(0, len(own) - needed + 1)]).view(np.int64))
+                sizes.append(n)
+                overlaps.append(both)
+            yield pdf[["key", "rep", "degree", "comp", "led"]].assign(n=sizes, overlap=overlaps, buckets=buckets)
+
+    return members.mapInPandas(reduce, "key long, rep long, degree long, comp long, led long, n long, overlap long, buckets array<bigint>")
+
+
+def _deal(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Buckets of the pairs that can be similar, from ``key, rep, degree, comp, pivot, led``, members with a common pivot (of component ``led``).
+
+    A member's residual is its shingles that the pivot lacks. Two members'
+    overlap is at most the smaller of their overlaps with the pivot plus that of
+    their residuals. So a similar pair either
+
+    * shares residual shingles, at least as many as the needed overlap exceeds
+      either's overlap with the pivot. In hash order it then shares one among
+      all but the last of these of each residual: that prefix names buckets.
+    * or is similar enough in the pivot's shingles alone. Given a member, that
+      bounds the other's size; members meet by size. One of the two is not of
+      the pivot's component.
+    """
+    share = similarity / (1 + similarity)
+    sizes = sets.select(F.col("dk").alias("rep"), "n")
+    low = crowd.join(sizes, "rep").groupBy("key").agg(F.min("n").alias("low"))
+    own, pivots = sets.select(F.col("dk").alias("rep"), F.col("grams").alias("x")), sets.select(F.col("dk").alias("pivot"), F.col("grams").alias("y"))
+    members = crowd.join(low, "key").join(own, "rep").join(pivots, "pivot")
+    rest = save(_residuals(members.select("key", "rep", "degree", "comp", "led", "low", "x", "y"), similarity), "residuals")
+    by_residual = rest.select(F.explode("buckets").alias("bucket"), "rep", "degree", "comp")
+
+    least, most = F.ceil(similarity * F.col("n") - 1e-9), F.floor(F.col("overlap") / share + 1e-9) - F.col("n")
+    one = rest.where((F.col("comp") != F.col("led")) & (most >= least))
+    one = one.select("key", F.col("n").alias("n1"), F.struct("rep", "degree", "comp").alias("m1"), F.explode(F.sequence(least, most)).alias("n"))
+    other = rest.select("key", "n", "overlap", F.struct("rep", "degree", "comp").alias("m2"))
+    alike = one.join(other, ["key", "n"]).where((F.col("m1.comp") != F.col("m2.comp")) & (F.col("overlap") >= share * (F.col("n") + F.col("n1")) - 1e-9))
+    name = F.xxhash64("key", F.least("m1.rep", "m2.rep"), F.greatest("m1.rep", "m2.rep"))
+    by_size = alike.select(name.alias("bucket"), F.explode(F.array("m1", "m2")).alias("m")).select("bucket", "m.*")
+
+    met = save(by_residual.unionByName(by_size), "dealt")
+    several = met.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
+    return met.join(several, "bucket", "left_semi").distinct()
+
+
+def _pivots(leaders: DataFrame, compared: DataFrame, degree: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``bucket, key, pivot``: of each crowded bucket its leader, or the best connected leader half alike to it.
+
+    Buckets with a common pivot are dealt as one, so that a member of many
+    buckets of one group is dealt once.
     """
-    mates = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    diverse = mates.groupBy("bucket").agg((F.sum("c") - F.max("c")).alias("strangers")).where(F.col("strangers") > LEADERS).select("bucket")
-    diverse = save(diverse, "diverse")
-    own = held.join(diverse, "bucket", "left_semi").groupBy("rep", "degree", "comp").agg(F.array_sort(F.collect_set("bucket")).alias("own"))
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice(F.col("own"), i + 2, F.size("own")), lambda y: F.xxhash64(x, y))))
-    keyed = own.select(F.explode(pairs).alias("bucket"), "rep", "degree", "comp")
-    several = keyed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
-    columns = ["bucket", "rep", "degree", "comp"]
-    return held.join(diverse, "bucket", "left_anti").select(*columns).unionByName(keyed.join(several, "bucket", "left_semi").select(*columns))
+    firsts = leaders.join(crowded, "bucket", "left_semi").select("bucket", F.col("lead").alias("rep"))
+    near = compared.where(F.col("sim") >= 0.5).select("rep", "lead").unionByName(firsts.select("rep", F.col("rep").alias("lead")))
+    near = near.join(firsts.select("rep").distinct(), "rep", "left_semi").join(degree.withColumnRenamed("rep", "lead"), "lead")
+    roots = near.groupBy("rep").agg((-F.max(F.struct("degree", -F.col("lead")))["col2"]).alias("pivot"))
+    return firsts.join(roots, "rep").select("bucket", F.col("pivot").alias("key"), "pivot")
 
 
 def near_duplicates(
@@ -232,6 +287,7 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
     weighted: bool = False,
+    crowd: int = CROWD,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -259,24 +315,40 @@ def near_duplicates(
     while held.take(1):
         width = min(16**turn, LEADERS)
         turn += 1
-        order = [F.desc("degree"), "rep"]
-        ranked = held
+        ranked = held.withColumn("mates", F.lit(0).cast("long"))
         if turn > 1:
             ranked = held.join(held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("mates")), ["bucket", "comp"])
-            order = ["mates", *order]
-        leaders = ranked.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("r") <= width).select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"))
-        met = held.join(leaders, "bucket").where(F.col("comp") != F.col("led")).select("lead", "rep", "led", "comp").distinct()
+        place = F.struct("mates", -F.col("degree"), "rep")
+        leaders = ranked.withColumn("place", place).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("place"))).where(F.col("r") <= width)
+        leaders = save(leaders.select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"), F.col("degree").alias("reach"), F.col("place").alias("ahead")), "leaders")
+        met = ranked.withColumn("place", place).join(leaders, "bucket").where((F.col("comp") != F.col("led")) & (F.col("ahead") < F.col("place"))).select("lead", "rep", "led", "comp").distinct()
         left, right = sets.select(F.col("dk").alias("rep"), F.col("grams").alias("x")), sets.select(F.col("dk").alias("lead"), F.col("grams").alias("y"))
-        judged = met.join(left, "rep").join(right, "lead").where(jaccard("x", "y") >= similarity)
-        found = save(judged.select("lead", "rep", "led", "comp"), "links")
+        compared = save(met.join(left, "rep").join(right, "lead").select("lead", "rep", "led", "comp", jaccard("x", "y").alias("sim")), "compared")
+        found = compared.where(F.col("sim") >= similarity)
         pairs = pairs.union(found.select("lead", "rep"))
         rest = held.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
+        names = None
         if found.take(1):
             names = components(found.select(F.col("led").alias("a"), F.col("comp").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
             rest = rest.join(names, "comp", "left").select("bucket", "rep", "degree", F.coalesce("now", "comp").alias("comp"))
-        several = rest.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
-        held = rest.join(several, "bucket", "left_semi")
-        held = save(_split_diverse(held) if turn == 1 else held, "buckets")
+        rest = save(rest, "rest")
+
+        # of buckets with several components, the costly ones are dealt anew
+        counts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max("c").alias("own"))
+        counts = save(counts.where(F.col("all") > F.col("own")).select("bucket", ((F.col("all") - F.col("own")) * F.col("all") > crowd).alias("costly")), "counts")
+        held = rest.join(counts.where(~F.col("costly")), "bucket", "left_semi")
+        crowded = counts.where("costly").select("bucket")
+        if crowded.take(1):
+            if turn == 1:
+                pivots = _pivots(leaders, compared, degree, crowded).withColumn("led", F.col("pivot"))
+            else:
+                best = F.max(F.struct("reach", (-F.col("lead")).alias("lead"), "led"))
+                pivots = leaders.join(crowded, "bucket", "left_semi").groupBy("bucket").agg(best.alias("m")).select("bucket", F.col("bucket").alias("key"), (-F.col("m.lead")).alias("pivot"), "m.led")
+            if names is not None:
+                pivots = pivots.join(names.withColumnRenamed("comp", "led"), "led", "left").withColumn("led", F.coalesce("now", "led"))
+            dealing = rest.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).select("key", "rep", "degree", "comp", "pivot", "led").distinct()
+            held = held.select("bucket", "rep", "degree", "comp").unionByName(_deal(save(dealing, "crowd"), sets, similarity))
+        held = save(held, "buckets")
 
     # 4. components; copies hang on their representative
     same_id = members.groupBy("dk").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where(F.col("a") != F.col("b")).select("a", "b")

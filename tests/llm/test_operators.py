@@ -98,6 +98,44 @@ def test_near_dedup_matches_brute_force(spark):
     assert got == brute_classes(rows + [(r[0], r[1]) for r in odd_rows() if r[0] is not None])
 
 
+def crowded_rows():
+    """One base text with near copies of many sizes and strangers on either side of 0.8 to some of them."""
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 6, 8))):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice((0, 1, 1, 2))] = [] if rng.random() < 0.3 else [rng.choice(WORDS)]
+        cut = rng.choice((0, 0, 0, 10, 20, 30))
+        rows.append((i, " ".join(w[cut:] if i % 2 else w[: len(w) - cut])))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [0, 50])
+def test_near_dedup_deals_crowded_buckets_exactly(spark, crowd):
+    rows = crowded_rows()
+    df = frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    got = {r["dk"]: r["class"] for r in near_dedup.near_duplicates(df, crowd=crowd).collect()}
+    want = brute_classes(rows)
+    assert got == want and 5 < len(set(want.values())) < 60
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_near_dedup_deal_keeps_every_similar_pair(spark, similarity):
+    rows = crowded_rows()
+    sets = {i: shingle_set(t) for i, t in rows}
+    grams = near_dedup.shingle_sets(spark.createDataFrame(rows, "dk long, text string")).cache()
+    crowd = spark.createDataFrame([(1, i, 0, i, 0, 0) for i, _ in rows[1:]], "key long, rep long, degree long, comp long, pivot long, led long")
+    held = {}
+    for r in near_dedup._deal(crowd, grams, similarity).collect():
+        held.setdefault(r["bucket"], set()).add(r["rep"])
+    met = {p for v in held.values() for p in itertools.combinations(sorted(v), 2)}
+    want = {p for p in itertools.combinations([i for i, _ in rows[1:]], 2) if jaccard(sets[p[0]], sets[p[1]]) >= similarity}
+    assert want and want <= met and len(met) < 90 * 89 / 2
+
+
 def test_near_dedup_stage_and_empty(spark):
     rows = [(i, t, "en", "s", 0) for i, t in near_rows()[:20]] + odd_rows()
     df = frame(spark, rows, clash=("rep",))
