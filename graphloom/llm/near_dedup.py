@@ -296,7 +296,7 @@ def near_duplicates(
     signed = save(signatures(keyed, bands, rows, weighted), "signatures")
 
     # 1. equal texts
-    reps = signed.groupBy("tk").agg(F.min("dk").alias("rep"))
+    reps = save(signed.groupBy("tk").agg(F.min("dk").alias("rep")), "copies")  # written, so that the join can split a text of very many copies
     members = save(signed.select("dk", "tk").join(reps, "tk"), "members")
     bands_of = signed.join(reps, "tk").where(F.col("dk") == F.col("rep")).select("rep", F.explode("bands").alias("bucket"))
 
