@@ -555,6 +555,41 @@ def paths_depth(g):
     return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth, "es": p.edge_ids}).to_df()
 
 
+# the same from every customer: the SQL of the queries above is given, and starts from a slice
+
+@query(f"WITH {CUST}, {REFERS} SELECT eid, weight FROM refers")
+def hop_relationships_whole(g):
+    q = g.nodes("Customer").traverse_relationships("REFERS", "Customer")
+    return q.select(lambda r: {"eid": r["_eid"], "weight": r.weight}).to_df()
+
+
+TRAILS_WHOLE = TRAILS.replace("{a} % 20 = 0", "true")
+
+
+@query(TRAILS_WHOLE.format(a="src", b="dst", t="refers", n=3, w="") + " SELECT s, d FROM p")
+def varlen_1_3_whole(g):
+    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 1, 3)
+    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey}).to_df()
+
+
+@query(TRAILS_WHOLE.format(a="src", b="dst", t="refers", n=4, w="AND weight > 30") + " SELECT d FROM p WHERE len >= 2")
+def varlen_pred_whole(g):
+    q = g.nodes("Customer").traverse("REFERS", "Customer", 2, 4, where=lambda r: r.weight > 30)
+    return q.select(lambda n: {"d": n.c_custkey}).to_df()
+
+
+@query(TRAILS_WHOLE.format(a="a", b="b", t="both_ways", n=2, w="") + " SELECT s, d, len FROM p")
+def varlen_both_whole(g):
+    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 1, 2, "both")
+    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
+
+
+@query(TRAILS_WHOLE.format(a="src", b="dst", t="refers", n=5, w="") + " SELECT s, d, len, es FROM p WHERE len >= 3")
+def paths_depth_whole(g):
+    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 3, 5)
+    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth, "es": p.edge_ids}).to_df()
+
+
 @query("""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS k FROM conversations), e AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON b.k = a.k + 1 AND b.k % 1000 > 0),
 p AS (SELECT a AS s, b AS d, 1 AS n FROM e UNION ALL SELECT p.s, e.b, n + 1 FROM p JOIN e ON e.a = p.d WHERE n < 7)
 SELECT s // 1000 AS conv_id, s % 1000 AS turn, max(n) AS depth FROM p GROUP BY s""")
