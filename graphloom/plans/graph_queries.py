@@ -198,8 +198,12 @@ def project_segment(g):
 len(list_filter(w, lambda x: len(x) >= 1)) = len(w) AS all_some, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS total,
 coalesce(w[1], '') AS first_word FROM (SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS w FROM documents) t""")
 def project_collection(g):
+    return collection(g, lambda text: F.substring(text, 1, 60))
+
+
+def collection(g, of):
     def shape(n):
-        w = F.split(F.substring(n.text, 1, 60), " ")
+        w = F.split(of(n.text), " ")
         return {
             "doc_id": n.doc_id, "n": X.count_of(w).cast("long"), "n_long": X.count_of(w, lambda x: F.length(x) > 4).cast("long"), "has_the": X.any_of(w, lambda x: x == "the"),
             "all_some": X.all_of(w, lambda x: F.length(x) >= 1), "total": X.sum_of(X.select_of(w, lambda x: F.length(x))).cast("long"), "first_word": F.get(w, 0),
@@ -208,6 +212,13 @@ def project_collection(g):
     return g.nodes("Document").select(shape).to_df()
 
 
+# of whole texts: the SQL of the query above is given, and reads a prefix
+
+@query(SQL["project_collection"].replace("substr(text, 1, 60)", "text"))
+def project_collection_whole(g):
+    return collection(g, lambda text: text)
+
+
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS n FROM customer")
 def degree_out(g):
     return g.nodes("Customer").select(lambda n: {"c_custkey": n.c_custkey, "n": n.count_relationships("PLACED_URGENT")}).to_df()

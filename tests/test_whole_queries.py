@@ -26,3 +26,11 @@ def by_sql(name):
 def test_traversals_from_every_customer(spark, name):
     got = rows_of(graph_queries.QUERIES[f"{name}_whole"](spark, FOLDER).collect())
     assert got == by_sql(f"{name}_whole") and len(got) > len(by_sql(name))
+
+
+def test_collection_of_whole_texts(spark):
+    got = graph_queries.QUERIES["project_collection_whole"](spark, FOLDER).collect()
+    assert rows_of(got) == by_sql("project_collection_whole")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert max(len(t or "") for t in texts.values()) > 60
+    assert all(r["n"] == len(texts[r["doc_id"]].split(" ")) for r in got if texts[r["doc_id"]] is not None)
