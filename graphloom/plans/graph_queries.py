@@ -637,6 +637,26 @@ def all_shortest(g):
     return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth, "es": p.edge_ids}).to_df()
 
 
+# the same from every customer to any depth; no SQL, as its recursion lists all simple paths. A test holds them against breadth-first search
+
+@query()
+def shortest_whole(g):
+    q = g.nodes("Customer").shortest_path("REFERS", "Customer")
+    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
+
+
+@query()
+def shortest_predicate_whole(g):
+    q = g.nodes("Customer").shortest_path("REFERS", "Customer", lambda n: n.c_custkey % 3 == 0)
+    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
+
+
+@query()
+def all_shortest_whole(g):
+    q = g.nodes("Customer").all_shortest_paths("REFERS", "Customer")
+    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth, "es": p.edge_ids}).to_df()
+
+
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON o_custkey = c_custkey")
 def optional(g):
     return g.nodes("Customer").optional_traverse("PLACED_URGENT", "Order").select(lambda c, o: {"c_custkey": c.c_custkey, "o_orderkey": o.o_orderkey}).to_df()

@@ -34,3 +34,34 @@ def test_collection_of_whole_texts(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     assert max(len(t or "") for t in texts.values()) > 60
     assert all(r["n"] == len(texts[r["doc_id"]].split(" ")) for r in got if texts[r["doc_id"]] is not None)
+
+
+def brute_shortest(edges):
+    """By (source, endpoint) the edge ids of every shortest path."""
+    out, found = {}, {}
+    for eid, a, b in edges:
+        out.setdefault(a, []).append((eid, b))
+    for s in {a for _, a, _ in edges}:
+        seen, level = {s}, {s: [()]}
+        while level:
+            after = {}
+            for at, paths in level.items():
+                for eid, b in out.get(at, []):
+                    if b not in seen:
+                        after.setdefault(b, []).extend((*p, eid) for p in paths)
+            seen |= set(after)
+            found |= {(s, d): paths for d, paths in after.items()}
+            level = after
+    return found
+
+
+def test_shortest_paths_of_any_depth_from_every_customer(spark):
+    q = graph_queries.load_graph(spark, FOLDER).nodes("Customer").path_segments("REFERS", "Customer")
+    edges = [tuple(r) for r in q.select(lambda s: {"eid": s.relationship["_eid"], "a": s.start.c_custkey, "b": s.end.c_custkey}).to_df().collect()]
+    want = brute_shortest(edges)
+    assert max(len(p[0]) for p in want.values()) > 6
+    run = lambda name: sorted(tuple(r) for r in graph_queries.QUERIES[name](spark, FOLDER).collect())
+    assert run("shortest_whole") == sorted((s, d, len(p[0])) for (s, d), p in want.items())
+    assert run("shortest_predicate_whole") == sorted((s, d, len(p[0])) for (s, d), p in want.items() if d % 3 == 0)
+    got = sorted((s, d, n, tuple(es)) for s, d, n, es in run("all_shortest_whole"))
+    assert got == sorted((s, d, len(es), es) for (s, d), p in want.items() for es in p)
