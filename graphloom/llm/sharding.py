@@ -4,16 +4,20 @@ Documents with equal texts are linked. Every document starts in a shard by
 hash; then, round by round, Spark joins count each group's members by shard, a
 group's part in one shard asks to move to the shard that holds most of the
 group, and asks are admitted up to the room that shard has under its quota. A
-part moves as a whole, so cut edges only fall. In the end documents without
-links fill the shards up to their exact quota; linked documents beyond a quota
-overflow into the pool that fills others, and groups larger than a shard fill
-the last shards one behind the other.
+part moves as a whole, so cut edges only fall. Then groups are settled whole,
+the largest first: one that is whole stays while its shard has room, any other
+goes to the shard with the least room that holds it. Groups for which no shard
+has room, fewer than there are shards, and groups larger than a shard fill the
+last shards one behind the other; documents without links fill the rest, up to
+the exact quota.
 
 The law is ``rows``: shard sizes differ by one document at most.
 
 Groups are only ever aggregated by (group, shard); numbers within a shard come
 from prefix sums over hash buckets of bounded size, so no shard, group or table
-is held by one task or the driver. The driver sees counts by pair of shards.
+is held by one task or the driver. The driver sees counts by pair of shards, and counts
+of groups by shard and size, of which there are few: n different sizes need
+n * n / 2 documents.
 
 Cases: a null text counts as empty with size 1; null ids and repeated rows are
 documents like any other (equal texts are linked); an empty table gives no
@@ -68,6 +72,47 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int = ROUNDS)
     return linked
 
 
+def plan(groups: dict[tuple[int, int], int], quotas: list[int]):
+    """Where groups go whole: ``home, n, first, last, shard`` for numbers of groups of a home and a size, and the rooms left.
+
+    ``groups`` counts them by home (-1: none) and size. A group is left out only
+    if no shard has room for it, which larger groups and those planned so far fill.
+    """
+    room, out = list(quotas), []
+    at = dict.fromkeys(groups, 0)
+
+    def put(key, t):
+        k = min(groups[key] - at[key], room[t] // key[1])
+        if k > 0:
+            out.append((*key, at[key], at[key] + k, t))
+            at[key] += k
+            room[t] -= k * key[1]
+
+    for n in sorted({n for _, n in groups}, reverse=True):
+        same = sorted(key for key in groups if key[1] == n)
+        for key in same:
+            if key[0] >= 0:
+                put(key, key[0])
+        for key in same:
+            for t in sorted(range(len(room)), key=lambda t: (room[t], t)):
+                put(key, t)
+    return out, room
+
+
+def settle(linked: DataFrame, quotas: list[int]):
+    """A shard for each group of ``linked`` that fits whole, and the rooms left."""
+    group = ["g", "size", "text_crc32"]
+    ends = linked.groupBy(*group).agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.count(F.lit(1)).alias("n"))
+    home = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(-1).alias("home")
+    ends = save(ends.select(*group, home, "n", F.monotonically_increasing_id().alias("rid")), "groups")
+    counts = {(r["home"], r["n"]): r["count"] for r in ends.groupBy("home", "n").count().collect()}
+    moves, room = plan(counts, quotas)
+    moves = linked.sparkSession.createDataFrame(moves, "home int, n long, first long, last long, shard int")
+    numbered = _numbered(ends, ["home", "n"], sum(counts.values()), "at")
+    settled = numbered.join(F.broadcast(moves), ["home", "n"]).where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("last")))
+    return settled.select(*group, "shard"), room
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` and ``group_size``, how many texts are equal."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -82,18 +127,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     total = base.count()
     quotas = [total // shards + (t < total % shards) for t in range(shards)]
     start = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard")
-    fits = F.col("group_size").between(2, max(1, min(quotas)))
+    fits = F.col("group_size").between(2, max(1, max(quotas)))
     linked = save(base.where(fits).select("rid", *group, start), "linked")
     linked = propagate(linked, shards, min(quotas))
 
-    # linked rows within a shard's quota stay; all others form the pool that fills the shards
-    quota = F.element_at(F.array(*[F.lit(q) for q in quotas]), F.col("shard") + 1)
-    placed = save(_numbered(linked.select("rid", "shard"), ["shard"], total, "at").withColumn("stays", F.col("at") < quota), "placed")
-    held = {r["shard"]: r["n"] for r in placed.where("stays").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pool = base.where(F.col("group_size") == 1).select("rid").unionByName(placed.where(~F.col("stays")).select("rid"))
+    # groups that fit stay whole; documents without links form the pool that fills the shards
+    settled, room = settle(linked, quotas)
+    placed = save(base.where(F.col("group_size") > 1).select("rid", *group, "group_size").join(settled, group, "left"), "placed")
+    stays = F.col("shard").isNotNull()
+    pool = base.where(F.col("group_size") == 1).select("rid")
     pool = save(_numbered(pool, [], total, "at"), "pool").select("rid", "at")
-    # groups larger than a shard, fewer than there are shards, fill what is left one behind the other
-    large = base.where((F.col("group_size") > 1) & ~fits)
+    # groups that no shard holds fill what is left one behind the other
+    large = placed.where(~stays)
     at = pool.count()
     for r in large.select(*group, "group_size").distinct().orderBy(*group).collect() if total else []:
         one = large.where((F.col("g") == r["g"]) & (F.col("size") == r["size"]) & (F.col("text_crc32") == r["text_crc32"])).select("rid")
@@ -101,12 +146,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         at += r["group_size"]
     ends, at = [], 0
     for t in range(shards):
-        at += quotas[t] - held.get(t, 0)
+        at += room[t]
         ends.append(at)
     fill = F.lit(shards - 1)
     for t in reversed(range(shards)):
         fill = F.when(F.col("at") < ends[t], F.lit(t)).otherwise(fill)
-    final = placed.where("stays").select("rid", "shard").unionByName(pool.select("rid", fill.cast("int").alias("shard")))
+    final = placed.where(stays).select("rid", "shard").unionByName(pool.select("rid", fill.cast("int").alias("shard")))
     out = base.select("rid", "doc_id", "size", "text_crc32", "group_size").join(final, "rid")
     out = _numbered(save(out, "sharded"), ["shard"], total, "slot")
     return out.select(

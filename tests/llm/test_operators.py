@@ -205,6 +205,41 @@ def test_sharding(spark, copies):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+def whole_shares(spark, sizes):
+    """Shard groups of these sizes: the exact shard sizes hold, and the sizes of groups that end whole come back."""
+    rows = [(i, f"text {g}", "en", "s", 1) for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    random.Random(4).shuffle(rows)
+    out = sharding.shard_documents(frame(spark, rows)).collect()
+    held = Counter(r["shard"] for r in out)
+    assert len(out) == len(rows) and max(held.values()) - min(held[t] for t in range(8)) <= 1
+    text, at = {r[0]: r[1] for r in rows}, {}
+    for r in out:
+        at.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    return sorted(n for g, n in enumerate(sizes) if n > 1 and len(at[f"text {g}"]) == 1)
+
+
+@pytest.mark.parametrize(("sizes", "whole"), [
+    ([2] * 800, [2] * 800), ([5] * 304 + [1] * 80, [5] * 304), ([80] * 12 + [1] * 640, [80] * 12), ([160] * 9 + [1] * 160, [160] * 8), ([300, 2, 2, 1, 1], [2, 2]),
+])
+def test_sharding_keeps_groups_whole(spark, sizes, whole):
+    assert whole_shares(spark, sizes) == whole
+
+
+def test_sharding_plan_leaves_out_only_what_no_shard_holds():
+    rng = random.Random(6)
+    for _ in range(200):
+        groups = {(rng.randint(-1, 7), rng.randint(2, 60)): rng.randint(1, 6) for _ in range(rng.randint(1, 30))}
+        quotas = [rng.randint(20, 120)] * 8
+        moves, room = sharding.plan(groups, quotas)
+        put = Counter()
+        for home, n, first, last, t in moves:
+            assert first == put[home, n] and last > first
+            put[home, n] = last
+            quotas[t] -= n * (last - first)
+        assert quotas == room and min(room) >= 0
+        assert all(put[k] == m or (put[k] < m and k[1] > max(room)) for k, m in groups.items())
+
+
 # 5
 
 def edit_anywhere(p, t):
