@@ -10,6 +10,11 @@ occur in any template must reach ``need`` (length filter), the words behind the
 first shared one must suffice on both sides (positional filter), and the
 overlap is counted. No fitting block is lost.
 
+With ``windows``, notices that span line breaks are found too: a template of
+``l`` words also fits ``l`` consecutive words of the text, wherever its lines
+end, that hold ``need`` of its distinct words. Such a window holds a prefix
+word, so only those around one are counted, in texts with ``need`` of the words.
+
 The templates and their words are fixed in number, whatever the input, so the
 index is broadcast; blocks without a prefix word never leave the scan.
 
@@ -86,11 +91,24 @@ def word_counts(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[s
     return {r["w"]: r["count"] for r in docs.select(held).groupBy("w").count().collect()}
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def window_shares(words: Column, held: Column, ordered) -> Column:
+    """Of each template that fits a window: ``label``, the largest ``share``. ``held`` has the text's template words."""
+    fits = []
+    for label, members, need, length in ordered:  # lambdas are called at once
+        prefix, own = members[: len(members) - need + 1], _strings(members)
+        at = F.array_compact(F.transform(words, lambda x, i: F.when(x.isin(prefix), i)))
+        starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(F.lit(0), i - length + 1), i))))
+        best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(words, i + 1, length), own))))
+        best = F.when(F.size(F.array_intersect(held, own)) >= need, best)
+        fits.append(F.when(best >= need, F.struct(F.lit(label).alias("label"), (best / len(members)).alias("share"))))
+    return F.array_compact(F.array(*fits)) if fits else F.array().cast("array<struct<label:string,share:double>>")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """One row a document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks``.
 
-    ``score`` is the largest share of a template found in a block, 1 where a
-    phrase stands; ``n_blocks`` counts pairs of a block and a fitting template.
+    ``score`` is the largest share of a template found in a block or window, 1
+    where a phrase stands; ``n_blocks`` counts pairs of a block and a fitting template.
     """
     sets = [(label, sorted(set(t.split()))) for label, t in templates]
     vocabulary = sorted({w for _, s in sets for w in s})
@@ -117,7 +135,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         lambda b: (F.size(b) >= least) & F.arrays_overlap(b, _strings(prefix)),
     )
     blocks = F.when(F.arrays_overlap("words", _strings(prefix)), blocks).otherwise(F.array().cast("array<array<string>>"))
-    base = base.select("doc_id", F.size("words").cast("long").alias("n_words"), *places, blocks.alias("blocks"))
+    spans = [(label, s, need, len(t.split())) for (label, s, need), (_, t) in zip(ordered, templates, strict=True)]
+    fits = window_shares(F.col("words"), F.array_intersect(ranked, F.col("words")), spans if windows else [])
+    base = base.select("doc_id", F.size("words").cast("long").alias("n_words"), *places, blocks.alias("blocks"), fits.alias("fits"))
     base = save(base.withColumn("rid", F.monotonically_increasing_id()), "license-scan")
 
     # the join of blocks and templates on prefix words
@@ -138,12 +158,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     own = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))
     starts = F.flatten(F.array(*[F.col(f"p{i}") for i in range(len(phrases))]))
     out = out.withColumn("own", F.array_sort(F.array_distinct(own))).withColumn("starts", starts)
-    labels = F.array_sort(F.array_union("own", F.coalesce("found", F.array().cast("array<string>"))))
+    labels = F.array_sort(F.array_union(F.array_union("own", F.coalesce("found", F.array().cast("array<string>"))), F.col("fits.label")))
+    share = F.greatest(F.coalesce("share", F.lit(0.0)), F.coalesce(F.array_max("fits.share"), F.lit(0.0)))
     return out.select(
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
         F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
         F.array_join("own", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.when(F.size("own") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.when(F.size("own") > 0, 1.0).otherwise(share).alias("score"),
         F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
     )
 
@@ -152,6 +173,11 @@ def op7_license_scan(spark, sf_dir) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op7_license_scan_whole(spark, sf_dir) -> DataFrame:
+    """Also notices that span line breaks; the SQL of ``op7_license_scan`` is given, and holds lines alone."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), windows=True)
+
+
 def oracle() -> str:
     """Every block held against every template, every phrase against every word, without filters."""
     sep = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"

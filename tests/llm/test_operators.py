@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -310,6 +311,44 @@ def test_license_scan(spark):
     assert license_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def brute_windows(text):
+    """Labels of templates that fit as many consecutive words, every window held against every template."""
+    words, out = [w for w in re.split(license_scan.SEPARATOR, (text or "").lower()) if w], set()
+    for label, t in license_scan.TEMPLATES:
+        t = t.split()
+        need = license_scan._need(len(set(t)), license_scan.THRESHOLD)
+        if any(len(set(words[i : i + len(t)]) & set(t)) >= need for i in range(len(words))):
+            out.add(label)
+    return out
+
+
+def test_license_scan_over_line_breaks(spark):
+    rng = random.Random(8)
+    notices = [(label, t.split()) for label, t in license_scan.TEMPLATES]
+    rows, want = [], {}
+    for i in range(80):
+        label, w = notices[i % len(notices)]
+        w = list(w)
+        if i % 3 == 1:
+            w[rng.randrange(len(w))] = "other"
+        if i % 7 == 6:
+            rng.shuffle(w)
+            w = [x for y in w for x in (y, *prose(rng, 2).split())]
+        w = prose(rng, rng.randint(0, 20)).split() + w + prose(rng, rng.randint(0, 20)).split()
+        k = rng.choice((3, 6, 9, 12))
+        text = "\n".join((" * ", "# ", "")[i % 3] + " ".join(w[a : a + k]) for a in range(0, len(w), k))
+        rows.append((i, text, "en", "s", 1))
+        want[i] = brute_windows(text)
+    df = frame(spark, rows + odd_rows())
+    lines = {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()}
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in license_scan.scan(df, windows=True).collect()}
+    assert all(got[i] == w | set(filter(None, lines[i].split(","))) for i, w in want.items())
+    wrapped = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    one = frame(spark, [(1, wrapped, "en", "s", 1)])
+    assert license_scan.scan(one).first()["labels"] == "" and license_scan.scan(one, windows=True).first()["labels"] == "bsd"
+    assert sum(got[i] > set(filter(None, lines[i].split(","))) for i in want) > 20 and license_scan.scan(df.limit(0), windows=True).count() == 0
+
+
 # 8
 
 def test_packing(spark):
