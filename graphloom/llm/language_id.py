@@ -11,7 +11,8 @@ contain it, with some false positives.
 A text's n-grams are looked up at once; each language's popcount ``c`` of
 ``n`` n-grams is corrected by the filter's own rate ``f`` of false positives,
 ``(c - n f) / (1 - f)``, and the largest corrected count wins. The score is the
-winner's share of all corrected counts.
+winner's share of all corrected counts; ``known`` is the winner's corrected
+count as a share of all n-grams of the text.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a text with
 letters of which no n-gram is known gets the most frequent learned language
@@ -37,6 +38,11 @@ HASHES = 3
 SLOT_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
+#: The stage's least ``known`` for texts of ``LONG`` characters. Of some 4,000 labelled documents of sf0.1 the least has 0.44;
+#: random letters of three scripts (100 texts of each length) had 0.07 at most with 50 characters and 0.02 with 300. Noise at the filter's
+#: largest false rate, 0.004, has a standard deviation of 0.01 over the n-grams of 40 characters.
+KNOWN = 0.1
+LONG = 40
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -94,11 +100,12 @@ class LanguageFilter:
             out &= self.masks[s]
         return out
 
-    def decide(self, texts) -> tuple[list, np.ndarray]:
+    def decide(self, texts) -> tuple[list, np.ndarray, np.ndarray]:
+        """Languages, scores and shares of known n-grams."""
         texts = list(texts)
-        labels, scores = ["und"] * len(texts), np.zeros(len(texts))
+        labels, scores, known = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return labels, scores
+            return labels, scores, known
         for a, b in chunks(texts):
             real = [i for i in range(a, b) if texts[i] is not None and _LETTER.search(texts[i])]
             data = [_fold(texts[i]) for i in real]
@@ -118,7 +125,8 @@ class LanguageFilter:
                 best = int(np.argmax(fixed[:, j]))
                 labels[i] = self.languages[best] if total[j] > 0 else self.fallback
                 scores[i] = fixed[best, j] / total[j] if total[j] > 0 else 0.0
-        return labels, scores
+                known[i] = fixed[best, j] / max(1, n[j])
+        return labels, scores, known
 
 
 def learnable() -> F.Column:
@@ -169,14 +177,14 @@ def train(
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """Add the struct column ``language``: ``lang_pred``, ``score``. Reads the text alone."""
+    """Add the struct column ``language``: ``lang_pred``, ``score``, ``known``. Reads the text alone."""
     parts = (model.languages, model.masks, model.false_rate, model.fallback)
     held = docs.sparkSession.sparkContext.broadcast(parts)  # a fixed size: 2^20 slots
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        labels, scores = LanguageFilter(*held.value).decide(texts)
-        return pd.DataFrame({"lang_pred": labels, "score": scores})
+        labels, scores, known = LanguageFilter(*held.value).decide(texts)
+        return pd.DataFrame({"lang_pred": labels, "score": scores, "known": known})
 
     return docs.withColumn("language", judge(F.col(text_col)))
 
@@ -192,10 +200,11 @@ def op3_language_id(spark, sf_dir) -> DataFrame:
 def stage_language(spark, docs, sf_dir) -> DataFrame:
     """Pipeline stage: drop documents without a recognisable language.
 
-    Rejected are ``und`` texts, and texts of 40 characters or more of whose
-    n-grams no language knows any; shorter ones have too few to tell.
+    Rejected are ``und`` texts, and texts of ``LONG`` characters or more of
+    whose n-grams no language knows a share of ``KNOWN``, which is above what
+    the filter's false positives reach; shorter ones have too few to tell.
     """
     model = train(docs, learnable())
     out = predict(docs, model)
-    known = (F.col("language.score") > 0) | (F.length("text") < 40)
+    known = (F.col("language.known") >= KNOWN) | (F.length("text") < LONG)
     return out.where((F.col("language.lang_pred") != "und") & known).select(*docs.columns)

@@ -177,6 +177,19 @@ def test_language_id(spark):
     assert {r["language"]["lang_pred"] for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+def test_language_stage_drops_long_texts_of_no_language(spark):
+    rng = random.Random(3)
+    # 30,000 n-grams of each language fill the filter so far that its noise shows
+    words = {x: ["".join(rng.choice(abc) for _ in range(6)) for _ in range(5_000)] for x, abc in (("aa", "abcdefghijklm"), ("bb", "nopqrstuvwxyz"))}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(700)), x, "s", 1) for i, x in enumerate(list(words) * 60)]
+    scripts = [chr(c) for c in range(0xE01, 0xE2F)], [chr(c) for c in range(0x4E00, 0x5200)], [chr(c) for c in range(0x3B1, 0x3C9)]
+    noise = [(1000 + i, "".join(rng.choice(scripts[i % 3]) for _ in range(n)), None, "s", 1) for i, n in enumerate([60, 300, 3_000, 20_000] * 6)]
+    df = frame(spark, rows + noise)
+    predicted = {r["doc_id"]: r["language"] for r in language_id.predict(df, language_id.train(df, language_id.learnable())).collect()}
+    assert sum(predicted[r[0]]["score"] > 0 for r in noise) > 5 and max(predicted[r[0]]["known"] for r in noise) < language_id.KNOWN / 2
+    assert {r["doc_id"] for r in language_id.stage_language(spark, df, None).collect()} == {r[0] for r in rows}
+
+
 def test_language_filter_returns_all_languages():
     a, b = np.arange(100, dtype=np.uint64), np.arange(50, 150, dtype=np.uint64)
     m = language_id.LanguageFilter.build(["a", "b"], [a, b], "a")
