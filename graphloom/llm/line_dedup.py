@@ -4,7 +4,9 @@ The unit of an edit is a word. A line (trimmed, split at single blanks) is a
 duplicate if an equal line stands earlier, or, with ``NEAR_WORDS`` words or
 more, one within a single inserted, deleted or replaced word. Earlier means a
 smaller document id, then a smaller line number. The earliest line stays, and
-all occurrences of a duplicate go. Lines below ``MIN_WORDS`` words stay.
+all occurrences of a duplicate go. Lines below ``MIN_WORDS`` words stay, but
+with ``least_chars`` only those that have fewer characters too: a passage in a
+script without blanks is one word.
 
 1. Equal lines are aggregated to one with its first place (two 64-bit hashes).
 2. An edit leaves the first or the last ``b`` words unchanged, ``b`` being about
@@ -33,6 +35,8 @@ from .common import discard, doc_key, save
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
+#: The pipeline's ``least_chars``; the SQL of ``op10_line_dedup`` is given, and knows words alone.
+LEAST_CHARS = 16
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,12 +60,15 @@ def _edge_keys(line: Column, words: Column) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def _lines(source: DataFrame) -> DataFrame:
-    """A row for each line of ``MIN_WORDS`` words or more: place, two hashes, words, edge keys."""
+def _lines(source: DataFrame, least_chars: int | None = None) -> DataFrame:
+    """A row for each line of ``MIN_WORDS`` words or ``least_chars`` characters or more: place, two hashes, words, edge keys."""
     rows = source.select("dk", "th", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
     rows = rows.select("dk", "th", "no", F.trim("raw").alias("line"))
     words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    rows = rows.withColumn("words", words).where(F.col("words") >= MIN_WORDS)
+    enough = F.col("words") >= MIN_WORDS
+    if least_chars is not None:
+        enough = enough | (F.length("line") >= least_chars)
+    rows = rows.withColumn("words", words).where(enough)
     return rows.select(
         "dk", "th", "no", "line", "words", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2")
     )
@@ -109,10 +116,10 @@ def _neighbourhood() -> Column:
     return F.flatten(F.transform(stages, hashes))
 
 
-def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int | None = None) -> DataFrame:
     """``dk, th, no, near``: every line to remove; ``near`` tells lines that only resemble an earlier one."""
     source = _keyed(docs, id_col, text_col).where(F.length("text") > 0)
-    lines = _lines(source)
+    lines = _lines(source, least_chars)
     place = F.struct("dk", "th", "no")
 
     # 1. one row for each distinct line
@@ -169,10 +176,10 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return every.where(F.col("near") | (place != F.col("first"))).select("dk", "th", "no", "near")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int | None = None) -> DataFrame:
     """``docs`` with duplicate lines taken out of the text, and ``lines_removed``: struct of ``exact``, ``near``, ``kept``."""
     dk, th = "__line_dk", "__line_th"
-    gone = find_duplicates(docs, id_col, text_col).groupBy(F.col("dk").alias(dk), F.col("th").alias(th)).agg(
+    gone = find_duplicates(docs, id_col, text_col, least_chars).groupBy(F.col("dk").alias(dk), F.col("th").alias(th)).agg(
         F.collect_set("no").alias("__line_gone"), F.countDistinct(F.when(F.col("near"), F.col("no"))).alias("__line_near")
     )
     keyed = docs.withColumn(dk, doc_key(F.col(id_col), F.col(text_col))).withColumn(th, F.xxhash64(text_col))
@@ -201,7 +208,7 @@ def stage_line_dedup(spark, docs, sf_dir) -> DataFrame:
 
     ``n_chars``, where there is one, follows the new text.
     """
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, least_chars=LEAST_CHARS)
     emptied = (F.col("lines_removed.kept") == 0) & (F.col("lines_removed.exact") + F.col("lines_removed.near") > 0)
     out = out.where(~emptied)
     columns = [F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

@@ -477,3 +477,10 @@ def test_line_dedup_long_line(spark):
     out = {r["doc_id"]: r["lines_removed"] for r in line_dedup.dedup_lines(df).collect()}
     assert tuple(out[1]) == (0, 0, 1) and tuple(out[2]) == (0, 1, 0)
     assert [r["doc_id"] for r in line_dedup.stage_line_dedup(spark, df, None).collect()] == [1]
+
+
+def test_line_dedup_stage_drops_repeats_without_blanks(spark):
+    long, short = "".join(chr(0x4E00 + 7 * i) for i in range(40)), "".join(chr(0x4E00 + 7 * i) for i in range(8))
+    texts = {1: f"{long}\n{short}\none", 2: f"{short}\n{long} \none", 3: long}
+    df = frame(spark, [(i, t, "en", "s", 1) for i, t in texts.items()])
+    assert {r["doc_id"]: r["text"] for r in line_dedup.stage_line_dedup(spark, df, None).collect()} == {1: texts[1], 2: f"{short}\none"}
