@@ -14,7 +14,8 @@ task's memory is bounded, and neither side is collected or broadcast whole.
 
 Cases: vectors that are null, or hold null or non-finite components, take no
 part; vectors of different lengths are not compared; repeated rows are separate
-candidates (a query leaves out rows of its own id); null ids take no part;
+candidates (a query leaves out rows of its own id); an id with several distinct
+vectors asks with each, and the best pairs of all are its answer; null ids take no part;
 ties go to the smaller id; empty tables give no rows. Components are
 ``floor(scale * x)``; one beyond 2^40, or a score beyond 2^63, is an error.
 """
@@ -85,12 +86,15 @@ def search_block(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: n
             yield j, ids[alive][best], part[best]
 
 
-def pack(vectors: DataFrame, id_col: str, vec_col: str, scale: int, per_block: int) -> DataFrame:
-    """Blocks of integer vectors: ``dim, block, ids, data``, a few blocks a partition left short."""
-    good = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(
+def _good(id_col: str, vec_col: str):
+    return F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(
         F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     )
-    rows = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+
+
+def pack(vectors: DataFrame, id_col: str, vec_col: str, scale: int, per_block: int) -> DataFrame:
+    """Blocks of integer vectors: ``dim, block, ids, data``, a few blocks a partition left short."""
+    rows = vectors.where(_good(id_col, vec_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
     def build(frames):
         for pdf in frames:
@@ -117,8 +121,8 @@ def top_k(
     """``query_id, rank, vec_id, score``: each query's k best rows of another id."""
     spark = vectors.sparkSession
     rows = save(pack(vectors, id_col, vec_col, scale, ROWS_PER_BLOCK).withColumn("block", F.monotonically_increasing_id()), "row-blocks")
-    # an id that occurs several times is one query: of its vectors the least one
-    asked = vectors.where(is_query).groupBy(id_col).agg(F.min(vec_col).alias(vec_col))
+    # equal rows of an id are one query
+    asked = vectors.where(is_query & _good(id_col, vec_col)).select(id_col, vec_col).distinct()
     asked = save(pack(asked, id_col, vec_col, scale, QUERIES_PER_BLOCK), "query-blocks")
     floors = _floors(spark, rows, k)
 

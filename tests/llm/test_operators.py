@@ -413,6 +413,21 @@ def test_top_k_matches_brute_force(spark):
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_asks_with_each_vector_of_an_id(spark):
+    rng = np.random.default_rng(12)
+    vec = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(1, 60)]
+    own = {100: [[0.5, None] + [0.1] * 6, [0.9] * 8], 200: [[0.9] + [-0.4] * 7, [-0.9] + [0.4] * 7, [-0.9] + [0.4] * 7]}
+    df = frame(spark, vec + [(i, v) for i, vs in own.items() for v in vs], "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k.top_k(df, F.col("vec_id") % 100 == 0).collect())
+    fixed = lambda v: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)
+    rows = [(i, fixed(v)) for i, v in vec + [(i, v) for i, vs in own.items() for v in vs] if None not in v]
+    want = []
+    for q, asks in {100: [own[100][1]], 200: own[200][:2]}.items():
+        best = sorted((-int(fixed(a) @ y), i) for a in asks for i, y in rows if i != q)[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 # 10
 
 def brute_lines(rows):
