@@ -1,4 +1,4 @@
-"""One query for each operator of the graph surface, over the whole tables, with equal SQL."""
+"""One query for each operator of the graph surface, with equal SQL; where that holds a slice, NAME_whole is over the whole tables."""
 
 from __future__ import annotations
 
