@@ -60,16 +60,6 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables; only once no result that reads them is needed."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(base):
-        for status in fs.listStatus(base):
-            if status.getPath().getName().startswith("graphloom-"):
-                fs.delete(status.getPath(), True)
-
-
 def text_key(text: Column) -> Column:
     """128-bit identity of a text as hex; null counts as the empty text."""
     return F.md5(F.coalesce(text, F.lit("")))
@@ -80,8 +70,13 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), -F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1) - 1)
 
 
-def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or ``name_1`` and so on if the table has such a column already (letters' case apart)."""
+    taken, out, i = {c.lower() for c in df.columns}, name, 0
+    while out.lower() in taken:
+        i += 1
+        out = f"{name}_{i}"
+    return out
 
 
 def executors_hint(spark: SparkSession) -> int:
