@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,10 +81,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return out
 
 
-def executors_hint(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def chunks(texts, limit_bytes: int = 4_000_000):
     """Index ranges of consecutive texts of about ``limit_bytes`` characters, one text at least."""
     start, held = 0, 0
@@ -94,3 +92,20 @@ def chunks(texts, limit_bytes: int = 4_000_000):
         held += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches as slices of few rows, so that a worker never holds the Python objects of a whole batch."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps a worker process for later tasks, which may be of another operator."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -1,30 +1,35 @@
 """MinHash near-dedup by DartMinHash signatures.
 
 Elements are shingles of five words (white-space separated, lower case; a
-shorter text is one shingle) with weight 1, or with their number of occurrences
-(``weighted``). Darts are thrown over element x weight x rank by a hash that
-all documents share, one on average to each unit cell. A document keeps the
-darts that fall within its elements' weights up to the rank by which all
-coordinates are expected to be filled, and of each coordinate the earliest.
-Two documents agree in a coordinate with a probability equal to their weighted
-Jaccard similarity. A coordinate left empty (one in a thousand) is used in no
-band.
+shorter text is one shingle). A shingle that occurs ``c`` times weighs ``c``:
+a text is the set of its (shingle, occurrence) pairs, and similarity is the
+Jaccard similarity of these sets, that is the weighted one of the shingles
+(``weighted=False``: every shingle weighs 1). Darts are thrown over element x
+weight x rank by a hash that all documents share, one on average to each unit
+cell. A document keeps the darts that fall within its elements' weights up to
+the rank by which all coordinates are expected to be filled, and of each
+coordinate the earliest. Two documents agree in a coordinate with a probability
+equal to their similarity. A coordinate left empty (one in a thousand) is used
+in no band.
 
 1. Equal texts form a class, represented by its least id.
-2. Signatures of ``BANDS`` bands of ``ROWS`` coordinates become bucket keys; a
-   pair of similarity 0.8 shares none with a probability of 4e-6.
-3. In rounds, each bucket's leaders are compared with its members of other
-   components, by the exact Jaccard similarity of their shingle sets, and leave
-   the bucket. Links join components; a bucket is done when its members are all
-   of one. In the first round the leader is the best connected member (the one
-   that meets the most others in all its buckets), which joins most of a group
-   at once; later leaders come from a bucket's smallest components, so that a
-   large component is met by the few strangers in its buckets and never by
-   itself. A bucket that would still cost many comparisons is dealt anew by
-   what its members do not share with a leader (see ``_deal``), which is exact:
-   a large group's strangers then only meet the members that they can equal.
-   A bucket of n members costs n rows a leader, never all pairs.
-4. Linked classes are joined to components, each named by its least id.
+2. ``BANDS`` bands of ``ROWS`` coordinates, dealt from ``COORDINATES`` by fixed
+   permutations, become bucket keys; of pairs of similarity 0.8 about one in
+   fifteen thousand shares none (see the test).
+3. Of the documents that share a bucket, those go of whose shingles less than
+   the similarity's share occurs in any other: they can have no partner.
+4. Each bucket's best connected member (the one that meets most others in all
+   its buckets) leads it and is compared with the members, by the exact
+   similarity. Links join components; a bucket is done when its members are all
+   of one. Buckets that are left and whose comparisons would cost more rows
+   than dealing them does are dealt anew by what members do not share with a
+   common leader (see ``_deal``), which is exact: strangers in a large group
+   then only meet the members that they can equal.
+5. In rounds, up to ``LEADERS`` members of each bucket's smallest components
+   are compared with its members of other components and leave the bucket. A
+   bucket of n members costs n rows a round, with a list of its leaders; a pair
+   that meets in several buckets is compared once.
+6. Linked classes are joined to components, each named by its least id.
 
 Cases: null and empty texts hold no shingle and are linked with one another
 only, as equal texts; rows with the same id are one document and get one class;
@@ -39,18 +44,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from .common import chunks, discard, doc_key, save, text_key
+from .common import chunks, discard, doc_key, release, save, slices, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 4
+COORDINATES = 120
+BANDS = 40
+ROWS = 6
 LEADERS = 64
-CROWD = 1024
+CHUNK = 500_000  # characters, and cells of darts, which bound a worker's arrays
+CELLS = 500_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -117,79 +124,112 @@ _CELL = np.array([int(p * 2.0**64) if p < 1 - 1e-12 else 2**64 - 1 for p in _POI
 
 
 def dart_signatures(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n: int, k: int) -> np.ndarray:
-    """n signatures of k ranks; a rank names its dart, the largest value an empty coordinate."""
+    """n signatures of k ranks; a rank names its dart, the largest value an empty coordinate. Owners ascend."""
     best = np.full(n * k, np.iinfo(np.uint64).max, _U)
     mass = np.bincount(owner, weights=weights, minlength=n)
     needed = k * math.log(k) + 2 * k
-    # unit cells of weight
+    low = 64 - math.ceil(math.log2(needed + 2))  # a rank's bits below its whole part, the same for all documents
+    limit = needed / np.maximum(mass, 1)  # ranks up to here
+    # unit cells of weight, and of each its ranks; some documents at a time
     e = np.repeat(np.arange(len(hashes)), weights)
     unit = np.arange(len(e)) - np.repeat(np.cumsum(weights) - weights, weights)
     cell0 = _mix(hashes[e] + unit.astype(_U) * _SEEDS[0])
     o = owner[e]
-    limit = needed / np.maximum(mass, 1)  # ranks up to here
-    for r in range(int(math.ceil(limit.max(initial=0)))):
-        live = np.flatnonzero(limit[o] > r)
-        if not len(live):
-            break
-        cell = _mix(cell0[live] ^ _salt(1, r))
+    ranks = np.ceil(limit[o]).astype(np.int64)
+    upto = np.cumsum(ranks)
+    a = 0
+    while a < len(o):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CELLS, side="right")))
+        at = np.repeat(np.arange(a, b), ranks[a:b])
+        r = (np.arange(len(at)) - np.repeat(upto[a:b] - ranks[a:b] - (upto[a - 1] if a else 0), ranks[a:b])).astype(_U)
+        cell = _mix(cell0[at] ^ r * _SEEDS[1])
+        own = o[at]
         darts = np.searchsorted(_CELL, cell, side="right")
-        for d in range(int(darts.max(initial=0))):
-            hit = np.flatnonzero(darts > d)
-            dart = _mix(cell[hit] + _salt(2, d + 1))
-            rank = (_U(r) << _U(53)) | (dart >> _U(11))
-            own = o[live[hit]]
-            within = rank < (np.minimum(limit[own], 1000) * 2.0**53).astype(_U)
+        hit = np.flatnonzero(darts > 0)
+        d = 0
+        while len(hit):
+            d += 1
+            dart = _mix(cell[hit] + _salt(2, d))
+            rank = (r[hit] << _U(low)) | (dart >> _U(64 - low))
+            within = rank < (limit[own[hit]] * 2.0**low).astype(_U)
             coordinate = (_mix(dart ^ _SEEDS[3]) >> _U(32)).astype(np.int64) * k >> 32
-            np.minimum.at(best, (own * k + coordinate)[within], rank[within])
+            np.minimum.at(best, (own[hit] * k + coordinate)[within], rank[within])
+            hit = hit[darts[hit] > d]
+        a = b
     return best.reshape(n, k)
 
 
-def _bands(best: np.ndarray, bands: int, rows: int) -> list[np.ndarray]:
+def _subsets(coordinates: int, bands: int, rows: int) -> np.ndarray:
+    """The coordinates of each band, taken from one fixed permutation after the other."""
+    each = coordinates // rows
+    order = [np.argsort(_mix(np.arange(coordinates, dtype=_U) + _salt(4, p + 1)), kind="stable") for p in range(-(-bands // each))]
+    return np.vstack([p[: each * rows].reshape(each, rows) for p in order])[:bands]
+
+
+def _bands(best: np.ndarray, subsets: np.ndarray) -> list[np.ndarray]:
     """Of each document the keys of the bands without an empty coordinate."""
-    n = len(best)
-    cut = best[:, : bands * rows].reshape(n, bands, rows)
+    n, (bands, rows) = len(best), subsets.shape
     key = np.zeros((n, bands), _U) + np.arange(1, bands + 1, dtype=_U) * _SEEDS[4]
+    full = np.ones((n, bands), bool)
     for i in range(rows):
-        key = _mix(key ^ cut[:, :, i])
-    full = (cut != np.iinfo(np.uint64).max).all(axis=2)
+        cut = best[:, subsets[:, i]]
+        key = _mix(key ^ cut)
+        full &= cut != np.iinfo(np.uint64).max
     key = key.view(np.int64)
     return [key[i][full[i]] for i in range(n)]
 
 
-def signatures(docs: DataFrame, bands: int, rows: int, weighted: bool) -> DataFrame:
+def signatures(docs: DataFrame, coordinates: int, bands: int, rows: int, weighted: bool) -> DataFrame:
     """From ``dk, tk, text``: ``dk, tk, bands``."""
-    def sign(frames):
-        for pdf in frames:
-            texts = pdf["text"].tolist()
-            for a, b in chunks(texts, 2_000_000):
+    subsets = _subsets(coordinates, bands, rows)
+
+    def sign(batches):
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks(texts, CHUNK):
                 h, o, c = _distinct(*shingles(texts[a:b]))
-                best = dart_signatures(h, o, c if weighted else np.ones_like(c), b - a, bands * rows)
-                yield pd.DataFrame({"dk": pdf["dk"].iloc[a:b].to_numpy(), "tk": pdf["tk"].iloc[a:b].to_numpy(), "bands": _bands(best, bands, rows)})
+                best = dart_signatures(h, o, c if weighted else np.ones_like(c), b - a, coordinates)
+                yield _arrays(batch, a, b, ("dk", "tk"), "bands", _bands(best, subsets))
 
-    return docs.mapInPandas(sign, "dk long, tk string, bands array<bigint>")
+    return docs.select("dk", "tk", "text").mapInArrow(sign, "dk long, tk string, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """From ``dk, text``: ``dk, n, grams``, the sorted distinct shingle hashes as bytes, and how many."""
-    def collect(frames):
-        for pdf in frames:
-            texts = pdf["text"].tolist()
-            for a, b in chunks(texts, 2_000_000):
-                h, o, _ = _distinct(*shingles(texts[a:b]))
+def _arrays(batch: pa.RecordBatch, a: int, b: int, keep: tuple[str, ...], name: str, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows a to b of some columns, and a column of arrays."""
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    held = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
+    return pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), held], names=[*keep, name])
+
+
+def shingle_sets(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """From ``dk, tk, text``: ``rep, tk, grams``, the distinct (shingle, occurrence) pairs as hashes."""
+    def collect(batches):
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks(texts, CHUNK):
+                h, o, c = _distinct(*shingles(texts[a:b]))
+                if weighted:
+                    turn = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                    h, o = _mix(np.repeat(h, c) + turn.astype(_U) * _SEEDS[0]), np.repeat(o, c)
                 cuts = np.searchsorted(o, np.arange(b - a + 1))
-                yield pd.DataFrame({"dk": pdf["dk"].iloc[a:b].to_numpy(), "n": np.diff(cuts), "grams": [h[cuts[i] : cuts[i + 1]].tobytes() for i in range(b - a)]})
+                yield _arrays(batch, a, b, ("rep", "tk"), "grams", [h[cuts[i] : cuts[i + 1]].view(np.int64) for i in range(b - a)])
+
+    return docs.select(F.col("dk").alias("rep"), "tk", "text").mapInArrow(collect, "rep long, tk string, grams array<bigint>").dropDuplicates(["rep", "tk"])
+
 
-    return docs.mapInPandas(collect, "dk long, n long, grams binary")
+def frequencies(sets: DataFrame) -> DataFrame:
+    """Add ``common`` to saved sets ``sid, rep, grams``: of the shingles that another document has too, how many have them, as (gram, c)."""
+    each = sets.select("sid", F.explode("grams").alias("gram"))
+    times = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    common = each.join(times, "gram").groupBy("sid").agg(F.collect_list(F.struct("gram", "c")).alias("common"))
+    return sets.join(common, "sid", "left").withColumn("common", F.coalesce("common", F.array().cast("array<struct<gram:bigint,c:bigint>>")))
 
 
-@F.pandas_udf(DoubleType())
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        out.append(both / max(1, len(p) + len(q) - both))
-    return pd.Series(out, dtype="float64")
+def jaccard(a: str, b: str) -> Column:
+    """Of two columns that hold arrays of distinct elements."""
+    both = F.size(F.array_intersect(a, b))
+    return both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,152 +251,191 @@ def components(links: DataFrame) -> DataFrame:
             return names
 
 
-def _residuals(members: DataFrame, similarity: float) -> DataFrame:
-    """From ``key, rep, degree, comp, led, low, x, y``: of each member the keys of its residual's prefix, its size, and its overlap with the pivot."""
-    share = similarity / (1 + similarity)
+def _several(held: DataFrame, by: str = "rep") -> DataFrame:
+    """The buckets that hold more than one ``by``, without repeated rows."""
+    ends = held.groupBy("bucket").agg(F.min(by).alias("a"), F.max(by).alias("b")).where(F.col("a") < F.col("b")).select("bucket")
+    return held.join(ends, "bucket", "left_semi").distinct()
 
-    def reduce(frames):
-        for pdf in frames:
-            buckets, sizes, overlaps = [], [], []
-            for key, low, x, y in zip(pdf["key"], pdf["low"], pdf["x"], pdf["y"], strict=True):
-                own = np.frombuffer(x, _U)
-                n = len(own)
-                own = np.setdiff1d(own, np.frombuffer(y, _U), assume_unique=True)
-                both = n - len(own)
-                needed = max(1, math.ceil(share * (n + max(low, similarity * n)) - 1e-9) - both)
-                salt = _mix(np.array([key], np.int64).view(_U))
-                buckets.append(_mix(salt + own[: max(0, len(own) - needed + 1)]).view(np.int64))
-                sizes.append(n)
-                overlaps.append(both)
-            yield pdf[["key", "rep", "degree", "comp", "led"]].assign(n=sizes, overlap=overlaps, buckets=buckets)
-
-    return members.mapInPandas(reduce, "key long, rep long, degree long, comp long, led long, n long, overlap long, buckets array<bigint>")
 
+def _meet(ranked: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Each bucket's leaders, ``bucket, lead``, and their similarity to its members of other components, ``lead, rep, led, comp, sim``.
 
-def _deal(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Buckets of the pairs that can be similar, from ``key, rep, degree, comp, pivot, led``, members with a common pivot (of component ``led``).
-
-    A member's residual is its shingles that the pivot lacks. Two members'
-    overlap is at most the smaller of their overlaps with the pivot plus that of
-    their residuals. So a similar pair either
-
-    * shares residual shingles, at least as many as the needed overlap exceeds
-      either's overlap with the pivot. In hash order it then shares one among
-      all but the last of these of each residual: that prefix names buckets.
-    * or is similar enough in the pivot's shingles alone. Given a member, that
-      bounds the other's size; members meet by size. One of the two is not of
-      the pivot's component.
+    Leaders are first by ``place``. Only one of two leaders is compared with the other.
     """
-    share = similarity / (1 + similarity)
-    sizes = sets.select(F.col("dk").alias("rep"), "n")
-    low = crowd.join(sizes, "rep").groupBy("key").agg(F.min("n").alias("low"))
-    own, pivots = sets.select(F.col("dk").alias("rep"), F.col("grams").alias("x")), sets.select(F.col("dk").alias("pivot"), F.col("grams").alias("y"))
-    members = crowd.join(low, "key").join(own, "rep").join(pivots, "pivot")
-    rest = save(_residuals(members.select("key", "rep", "degree", "comp", "led", "low", "x", "y"), similarity), "residuals")
-    by_residual = rest.select(F.explode("buckets").alias("bucket"), "rep", "degree", "comp")
-
-    least, most = F.ceil(similarity * F.col("n") - 1e-9), F.floor(F.col("overlap") / share + 1e-9) - F.col("n")
-    one = rest.where((F.col("comp") != F.col("led")) & (most >= least))
-    one = one.select("key", F.col("n").alias("n1"), F.struct("rep", "degree", "comp").alias("m1"), F.explode(F.sequence(least, most)).alias("n"))
-    other = rest.select("key", "n", "overlap", F.struct("rep", "degree", "comp").alias("m2"))
-    alike = one.join(other, ["key", "n"]).where((F.col("m1.comp") != F.col("m2.comp")) & (F.col("overlap") >= share * (F.col("n") + F.col("n1")) - 1e-9))
-    name = F.xxhash64("key", F.least("m1.rep", "m2.rep"), F.greatest("m1.rep", "m2.rep"))
-    by_size = alike.select(name.alias("bucket"), F.explode(F.array("m1", "m2")).alias("m")).select("bucket", "m.*")
-
-    met = save(by_residual.unionByName(by_size), "dealt")
-    several = met.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
-    return met.join(several, "bucket", "left_semi").distinct()
-
-
-def _pivots(leaders: DataFrame, compared: DataFrame, degree: DataFrame, crowded: DataFrame) -> DataFrame:
-    """``bucket, key, pivot``: of each crowded bucket its leader, or the best connected leader half alike to it.
+    leaders = ranked.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("place"))).where(F.col("r") <= width)
+    leaders = save(leaders.select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"), F.col("place").alias("ahead")), "leaders")
+    lists = leaders.groupBy("bucket").agg(F.collect_list(F.struct("lead", "led", "ahead")).alias("leads"))
+    ahead = F.filter("leads", lambda x: (x["led"] != F.col("comp")) & (x["ahead"] < F.col("place")))
+    mine = ranked.join(lists, "bucket").select("rep", "comp", F.transform(ahead, lambda x: F.struct(x["lead"].alias("lead"), x["led"].alias("led"))).alias("leads"))
+    mine = mine.where(F.size("leads") > 0).groupBy("rep", "comp").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
+    met = mine.select("rep", "comp", F.explode("leads").alias("l")).select("rep", "comp", "l.*")
+    left, right = sets.select("rep", F.col("grams").alias("x")), sets.select(F.col("rep").alias("lead"), F.col("grams").alias("y"))
+    compared = met.join(left, "rep").join(right, "lead").select("lead", "rep", "led", "comp", jaccard("x", "y").alias("sim"))
+    return leaders, save(compared, "compared")
+
+
+def _left(held: DataFrame, leaders: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``held`` without its leaders, by the components that the links between components make; buckets of several of them."""
+    if leaders is not None:
+        held = held.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
+    if links.take(1):
+        names = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+        held = held.join(names, "comp", "left").withColumn("comp", F.coalesce("now", "comp"))
+    return _several(held.select("bucket", "rep", "comp"), "comp")
+
+
+def _pivots(leaders: DataFrame, compared: DataFrame, degree: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``bucket, pivot``: of each of the buckets its leader, or the best connected leader half alike to it.
 
     Buckets with a common pivot are dealt as one, so that a member of many
     buckets of one group is dealt once.
     """
-    firsts = leaders.join(crowded, "bucket", "left_semi").select("bucket", F.col("lead").alias("rep"))
+    firsts = leaders.join(buckets, "bucket", "left_semi").select("bucket", F.col("lead").alias("rep"))
     near = compared.where(F.col("sim") >= 0.5).select("rep", "lead").unionByName(firsts.select("rep", F.col("rep").alias("lead")))
     near = near.join(firsts.select("rep").distinct(), "rep", "left_semi").join(degree.withColumnRenamed("rep", "lead"), "lead")
     roots = near.groupBy("rep").agg((-F.max(F.struct("degree", -F.col("lead")))["col2"]).alias("pivot"))
-    return firsts.join(roots, "rep").select("bucket", F.col("pivot").alias("key"), "pivot")
+    return firsts.join(roots, "rep").select("bucket", "pivot")
+
+
+def deal_keys(own: np.ndarray, common: np.ndarray, times: np.ndarray, pivot: np.ndarray, pivot_common: np.ndarray, pivot_times: np.ndarray, named: int, members: int, similarity: float):
+    """A member's similarity to its pivot and the keys of the buckets that it is dealt to; see ``_deal``."""
+    extra = ~np.isin(common, pivot, assume_unique=True)
+    lost = np.setdiff1d(pivot, own, assume_unique=True)
+    both = len(pivot) - len(lost)
+    distance = len(own) - both + len(lost)
+    # a shingle that the pivot alone has is missing from all others
+    at = np.searchsorted(pivot_common, lost)
+    held = np.ones(len(lost), np.int64)
+    if len(pivot_common):
+        known = pivot_common[np.minimum(at, len(pivot_common) - 1)] == lost
+        held[known] = pivot_times[at[known]]
+    elements = np.concatenate((common[extra], _mix(lost.view(_U) ^ _SEEDS[1]).view(np.int64)))
+    rarity = np.concatenate((times[extra], np.maximum(2, members - held)))
+    elements = elements[np.lexsort((elements, rarity))].view(_U)
+    alone = distance - len(elements)  # shingles of the member alone come first and name no bucket
+    alike = both / max(1, len(own) + len(pivot) - both)
+    slack = len(own) * (1 - similarity) / similarity
+    # two that are similar to the pivot need not meet; who is not has a distance above this
+    far = (1 - similarity) / (1 + similarity) * (similarity * len(own) + len(pivot)) if alike >= similarity else 0
+    width = max(4, len(pivot) // 20)
+    own_class, keys = distance // width, []
+    for other in range(max(0, int((distance - slack) // width)), int((distance + slack) // width) + 1):
+        if (other + 1) * width - 1 < far - 1e-6:
+            continue
+        needed = max(1, math.ceil((distance + other * width - slack) / 2 - 1e-9))
+        prefix = distance - needed + 1 - alone
+        if prefix > 0:
+            a, b = min(other, own_class), max(other, own_class)
+            keys.append(_mix(_mix(np.array([named, a, b], np.int64).view(_U)) * _BASE).sum(dtype=_U) + elements[:prefix])
+    keys = np.unique(_mix(np.concatenate(keys))) if keys else np.zeros(0, _U)
+    return alike, keys.view(np.int64)
+
+
+def _deal(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pivot, rep, sim, keys``: of members ``pivot, rep`` the similarity to the pivot and the buckets of the pairs that can be similar.
+
+    A member's difference is the set of shingles that it or the pivot has alone.
+    Two members differ in what their differences differ in. Texts of n and m
+    shingles are similar if that is b = (n + m) (1 - s) / (1 + s) elements at
+    most, so their differences, of d and e elements, share (d + e - b) / 2 or
+    more. If that is not above 0, both are similar to the pivot, and are linked
+    by it. Otherwise they share one of the rarest elements of both: all but as
+    many as are needed, less one (prefix filter). As e bounds the need, members
+    meet by classes of e; the buckets of a class pair are theirs alone. Rare is
+    by the number of documents with a shingle, or of members without it; a
+    shingle that nobody else has names no bucket.
+    """
+    size = crowd.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"))
+    mine = sets.select("rep", F.col("grams").alias("x"), F.col("common.gram").alias("xg"), F.col("common.c").alias("xc"))
+    theirs = sets.select(F.col("rep").alias("pivot"), F.col("grams").alias("y"), F.col("common.gram").alias("yg"), F.col("common.c").alias("yc"))
+    rows = crowd.join(size, "pivot").join(mine, "rep").join(theirs, "pivot")
+
+    def keys(frames):
+        for pdf in frames:
+            out = []
+            for p, members, x, xg, xc, y, yg, yc in zip(*(pdf[c] for c in ("pivot", "members", "x", "xg", "xc", "y", "yg", "yc")), strict=True):
+                order = np.argsort(yg, kind="stable")
+                out.append(deal_keys(x, xg, xc, np.asarray(y), yg[order], yc[order], p, members, similarity))
+            yield pd.DataFrame({"pivot": pdf["pivot"], "rep": pdf["rep"], "sim": [s for s, _ in out], "keys": [k for _, k in out]})
+        release()
+
+    return rows.mapInPandas(keys, "pivot long, rep long, sim double, keys array<bigint>")
 
 
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
+    coordinates: int = COORDINATES,
     bands: int = BANDS,
     rows: int = ROWS,
-    weighted: bool = False,
-    crowd: int = CROWD,
+    weighted: bool = True,
+    crowd: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``dk, tk, rep, class``: for each row its key, its text's key, its equal texts' and its class's least key."""
+    """``dk, tk, rep, class``: for each row its key, its text's key, its equal texts' and its class's least key.
+
+    Groups are dealt where the rows to compare are more than ``crowd`` times the rows that dealing makes.
+    """
     keyed = docs.select(doc_key(F.col(id_col), F.col(text_col)).alias("dk"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
-    signed = save(signatures(keyed, bands, rows, weighted), "signatures")
+    signed = save(signatures(keyed, coordinates, bands, rows, weighted), "signatures")
 
     # 1. equal texts
     reps = save(signed.groupBy("tk").agg(F.min("dk").alias("rep")), "copies")  # written, so that the join can split a text of very many copies
     members = save(signed.select("dk", "tk").join(reps, "tk"), "members")
     bands_of = signed.join(reps, "tk").where(F.col("dk") == F.col("rep")).select("rep", F.explode("bands").alias("bucket"))
 
-    # 2. buckets of several classes
-    shared = bands_of.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("bucket")
-    held = save(bands_of.join(shared, "bucket", "left_semi").distinct(), "buckets")
+    # 2. buckets of several classes, 3. of documents with enough shingles that others have
+    held = save(_several(bands_of), "buckets")
+    discard(signed)
+    sets = shingle_sets(keyed.join(held.select(F.col("rep").alias("dk")).distinct(), "dk", "left_semi"), weighted)
+    sets = save(sets.select(F.monotonically_increasing_id().alias("sid"), "rep", "grams"), "shingles")
+    sets = save(frequencies(sets).where(F.size("common") >= F.size("grams") * similarity - 1e-9), "shingles")
+    held = save(_several(held.join(sets.select("rep").distinct(), "rep", "left_semi")), "buckets")
     sizes = held.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others"))
     degree = save(held.join(sizes, "bucket").groupBy("rep").agg(F.sum("others").alias("degree")), "degrees")
-    held = save(held.join(degree, "rep").withColumn("comp", F.col("rep")), "buckets")
-    sets = save(shingle_sets(keyed.join(degree.select(F.col("rep").alias("dk")), "dk", "left_semi").select("dk", "text")), "shingles")
-    discard(signed)
+    held = held.withColumn("comp", F.col("rep"))
 
-    # 3. rounds of leaders
+    # 4. the best connected first
     pairs = docs.sparkSession.createDataFrame([], "a long, b long")
-    turn = 0
+    if held.take(1):
+        leaders, compared = _meet(held.join(degree, "rep").withColumn("place", F.struct(-F.col("degree"), "rep")), sets, 1)
+        pairs = compared.where(F.col("sim") >= similarity).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+        held = save(_left(held, leaders, pairs), "buckets")
+        held, dealt = _crowded(held, sets, leaders, compared, degree, similarity, crowd)
+        if dealt.take(1):
+            pairs = save(pairs.union(dealt.where(F.col("sim") >= similarity).select("pivot", "rep")), "links")
+            dealt = save(dealt.select(F.explode("keys").alias("bucket"), "rep"), "dealt")
+            held = save(_left(held.select("bucket", "rep").unionByName(dealt).withColumn("comp", F.col("rep")), None, pairs), "buckets")
+
+    # 5. rounds of leaders
     while held.take(1):
-        width = min(16**turn, LEADERS)
-        turn += 1
-        ranked = held.withColumn("mates", F.lit(0).cast("long"))
-        if turn > 1:
-            ranked = held.join(held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("mates")), ["bucket", "comp"])
-        place = F.struct("mates", -F.col("degree"), "rep")
-        leaders = ranked.withColumn("place", place).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("place"))).where(F.col("r") <= width)
-        leaders = save(leaders.select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"), F.col("degree").alias("reach"), F.col("place").alias("ahead")), "leaders")
-        met = ranked.withColumn("place", place).join(leaders, "bucket").where((F.col("comp") != F.col("led")) & (F.col("ahead") < F.col("place"))).select("lead", "rep", "led", "comp").distinct()
-        left, right = sets.select(F.col("dk").alias("rep"), F.col("grams").alias("x")), sets.select(F.col("dk").alias("lead"), F.col("grams").alias("y"))
-        compared = save(met.join(left, "rep").join(right, "lead").select("lead", "rep", "led", "comp", jaccard("x", "y").alias("sim")), "compared")
-        found = compared.where(F.col("sim") >= similarity)
-        pairs = pairs.union(found.select("lead", "rep"))
-        rest = held.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
-        names = None
-        if found.take(1):
-            names = components(found.select(F.col("led").alias("a"), F.col("comp").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
-            rest = rest.join(names, "comp", "left").select("bucket", "rep", "degree", F.coalesce("now", "comp").alias("comp"))
-        rest = save(rest, "rest")
-
-        # of buckets with several components, the costly ones are dealt anew
-        counts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("all"), F.max("c").alias("own"))
-        counts = save(counts.where(F.col("all") > F.col("own")).select("bucket", ((F.col("all") - F.col("own")) * F.col("all") > crowd).alias("costly")), "counts")
-        held = rest.join(counts.where(~F.col("costly")), "bucket", "left_semi")
-        crowded = counts.where("costly").select("bucket")
-        if crowded.take(1):
-            if turn == 1:
-                pivots = _pivots(leaders, compared, degree, crowded).withColumn("led", F.col("pivot"))
-            else:
-                best = F.max(F.struct("reach", (-F.col("lead")).alias("lead"), "led"))
-                pivots = leaders.join(crowded, "bucket", "left_semi").groupBy("bucket").agg(best.alias("m")).select("bucket", F.col("bucket").alias("key"), (-F.col("m.lead")).alias("pivot"), "m.led")
-            if names is not None:
-                pivots = pivots.join(names.withColumnRenamed("comp", "led"), "led", "left").withColumn("led", F.coalesce("now", "led"))
-            dealing = rest.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).select("key", "rep", "degree", "comp", "pivot", "led").distinct()
-            held = held.select("bucket", "rep", "degree", "comp").unionByName(_deal(save(dealing, "crowd"), sets, similarity))
-        held = save(held, "buckets")
-
-    # 4. components; copies hang on their representative
+        mates = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("mates"))
+        leaders, compared = _meet(held.join(mates, ["bucket", "comp"]).withColumn("place", F.struct("mates", "rep")), sets, LEADERS)
+        links = compared.where(F.col("sim") >= similarity)
+        pairs = pairs.union(links.select("lead", "rep"))
+        held = save(_left(held, leaders, links.select(F.col("led").alias("a"), F.col("comp").alias("b"))), "buckets")
+
+    # 6. components; copies hang on their representative
     same_id = members.groupBy("dk").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where(F.col("a") != F.col("b")).select("a", "b")
     names = components(pairs.union(same_id))
     out = members.join(names.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("dk", "tk", "rep", F.coalesce("comp", "rep").alias("class"))
 
 
+def _crowded(held: DataFrame, sets: DataFrame, leaders: DataFrame, compared: DataFrame, degree: DataFrame, similarity: float, crowd: float) -> tuple[DataFrame, DataFrame]:
+    """The buckets that stay as they are, and the members of the others as ``_deal`` has them."""
+    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    pivots = save(_pivots(leaders, compared, degree, sizes.select("bucket")).join(sizes, "bucket"), "pivots")
+    crowds = save(held.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).select("pivot", "rep").distinct(), "crowds")
+    slack = (1 - similarity) / similarity
+    made = crowds.join(sets.select("rep", F.size("grams").alias("n")), "rep").groupBy("pivot").agg((F.sum("n") * (1.5 * slack) * crowd).alias("made"))
+    costly = pivots.groupBy("pivot").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).join(made, "pivot").where(F.col("pairs") > F.col("made")).select("pivot")
+    costly = save(costly, "costly")
+    dealt = save(_deal(crowds.join(costly, "pivot", "left_semi"), sets, similarity), "dealt")
+    return held.join(pivots.join(costly, "pivot", "left_semi"), "bucket", "left_anti"), dealt
+
+
 def op2_near_dedup(spark, sf_dir) -> DataFrame:
     """``doc_id, class_id, copy_of``: near-duplicates share a class, equal texts ``copy_of``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -364,12 +443,18 @@ def op2_near_dedup(spark, sf_dir) -> DataFrame:
 
 
 def stage_near_dedup(spark, docs, sf_dir) -> DataFrame:
-    """Pipeline stage: of each class the document with the least id stays."""
+    """Pipeline stage: of each class the document with the least id stays.
+
+    Of rows with its id one stays: of the least text key, and of equal texts any.
+    Columns of any name are kept; null ids, null and empty texts are as in the
+    operator; an empty table stays empty.
+    """
     found = save(near_duplicates(docs), "classes")
-    keep = found.where(F.col("dk") == F.col("class")).groupBy(F.col("dk").alias("__near_dk")).agg(F.min("tk").alias("__near_tk"), F.count(F.lit(1)).alias("__near_n"))
-    keyed = docs.withColumn("__near_dk", doc_key(F.col("doc_id"), F.col("text"))).withColumn("__near_tk", text_key(F.col("text")))
-    kept = keyed.join(keep, ["__near_dk", "__near_tk"])
-    if keep.where(F.col("__near_n") > 1).take(1):
-        once = kept.where(F.col("__near_n") > 1).dropDuplicates(["__near_dk"])
-        kept = kept.where(F.col("__near_n") == 1).unionByName(once)
-    return kept.select(*docs.columns)
+    keep = found.where(F.col("dk") == F.col("class")).groupBy("dk").agg(F.min("tk").alias("tk"), F.count(F.lit(1)).alias("n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, doc_key(F.col("doc_id"), F.col("text")).alias("dk"), text_key(F.col("text")).alias("tk"))
+    kept = keyed.join(keep, ["dk", "tk"])
+    if keep.where(F.col("n") > 1).take(1):
+        once = kept.where(F.col("n") > 1).dropDuplicates(["dk"])
+        kept = kept.where(F.col("n") == 1).unionByName(once)
+    return kept.select("row.*")
