@@ -1,22 +1,19 @@
 """License scan: phrases, and an exact set-similarity join with license templates.
 
-DataFrame and SQL functions only. A text block is a line; a template fits a
-block that contains at least ``THRESHOLD`` of the template's distinct words.
-The templates' words are ordered by how many documents hold them, rarest first.
-With ``need`` words of a template's ``n`` required, any fitting block holds one
-of the template's first ``n - need + 1`` words (prefix filter); blocks are
-joined with templates on these, after which the number of a block's words that
-occur in any template must reach ``need`` (length filter), the words behind the
-first shared one must suffice on both sides (positional filter), and the
-overlap is counted. No fitting block is lost.
-
-With ``windows``, notices that span line breaks are found too: a template of
-``l`` words also fits ``l`` consecutive words of the text, wherever its lines
-end, that hold ``need`` of its distinct words. Such a window holds a prefix
-word, so only those around one are counted, in texts with ``need`` of the words.
+DataFrame and SQL functions only. A text block is a window of consecutive
+words, as many as the template has, wherever lines end; a template fits a block
+that contains at least ``THRESHOLD`` of the template's distinct words, and a
+text with such a block. The templates' words are ordered by how many documents
+hold them, rarest first. With ``need`` words of a template's ``n`` required, any
+fitting block holds one of the template's first ``n - need + 1`` words (prefix
+filter): places of such words are joined with the templates on the word. The
+words around a place that a block with it can hold must include ``need`` of the
+template's (length filter), and those behind and before the word in the order
+must suffice on both sides (positional filter); then the overlap of each block
+around the place is counted. No fitting block is lost.
 
 The templates and their words are fixed in number, whatever the input, so the
-index is broadcast; blocks without a prefix word never leave the scan.
+index is broadcast; texts without a prefix word never leave the scan.
 
 Cases: a null or empty text has no words, no labels and score 0; repeated rows
 are scanned one by one; an empty table gives no rows; very long texts are
@@ -91,81 +88,66 @@ def word_counts(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[s
     return {r["w"]: r["count"] for r in docs.select(held).groupBy("w").count().collect()}
 
 
-def window_shares(words: Column, held: Column, ordered) -> Column:
-    """Of each template that fits a window: ``label``, the largest ``share``. ``held`` has the text's template words."""
-    fits = []
-    for label, members, need, length in ordered:  # lambdas are called at once
-        prefix, own = members[: len(members) - need + 1], _strings(members)
-        at = F.array_compact(F.transform(words, lambda x, i: F.when(x.isin(prefix), i)))
-        starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(F.lit(0), i - length + 1), i))))
-        best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(words, i + 1, length), own))))
-        best = F.when(F.size(F.array_intersect(held, own)) >= need, best)
-        fits.append(F.when(best >= need, F.struct(F.lit(label).alias("label"), (best / len(members)).alias("share"))))
-    return F.array_compact(F.array(*fits)) if fits else F.array().cast("array<struct<label:string,share:double>>")
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row a document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_templates``.
 
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
-    """One row a document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks``.
-
-    ``score`` is the largest share of a template found in a block or window, 1
-    where a phrase stands; ``n_blocks`` counts pairs of a block and a fitting template.
+    ``score`` is the largest share of a template's words found in a block, 1
+    where a phrase stands; ``n_templates`` counts the templates that fit.
     """
-    sets = [(label, sorted(set(t.split()))) for label, t in templates]
-    vocabulary = sorted({w for _, s in sets for w in s})
+    sets = [(label, sorted(set(t.split())), len(t.split())) for label, t in templates]
+    vocabulary = sorted({w for _, s, _ in sets for w in s})
     counts = word_counts(docs, text_col, vocabulary)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    ordered = [(label, sorted(s, key=rank.get), _need(len(s), threshold)) for label, s in sets]
-    prefix = sorted({w for _, s, need in ordered for w in s[: len(s) - need + 1]}, key=rank.get)
-    least = min((need for _, _, need in ordered), default=1)
+    ordered = [(label, sorted(s, key=rank.get), _need(len(s), threshold), length) for label, s, length in sets]
+    prefix = sorted({w for _, s, need, _ in ordered for w in s[: len(s) - need + 1]}, key=rank.get)
+    reach = max((length for *_, length in ordered), default=1) - 1
 
-    # one pass over the texts: counts, phrases, and the template words of blocks with a prefix word
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words_of(F.col(text_col)).alias("words"))
+    # one pass over the texts: counts, phrases, and the words around the places of prefix words
+    base = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     first_words = _strings(sorted({p.split()[0] for p, _ in phrases}))
     base = base.withColumn("maybe", F.arrays_overlap("words", first_words))
     none = F.array().cast("array<int>")
     places = [F.when(F.col("maybe"), phrase_places(F.col("words"), p)).otherwise(none).alias(f"p{i}") for i, (p, _) in enumerate(phrases)]
-    ranked = _strings(sorted(vocabulary, key=rank.get))  # array_intersect keeps this order
 
-    def block_words(line):
-        return F.array_intersect(ranked, F.split(line, SEPARATOR))
+    def around(i):
+        start = F.greatest(F.lit(0), i - reach)
+        return F.struct((i - start).alias("at"), F.slice(F.col("words"), start + 1, i - start + 1 + reach).alias("near"))
 
-    blocks = F.filter(
-        F.transform(F.filter(F.split(F.lower("text"), "\n"), lambda x: F.length(x) > 0), block_words),
-        lambda b: (F.size(b) >= least) & F.arrays_overlap(b, _strings(prefix)),
-    )
-    blocks = F.when(F.arrays_overlap("words", _strings(prefix)), blocks).otherwise(F.array().cast("array<array<string>>"))
-    spans = [(label, s, need, len(t.split())) for (label, s, need), (_, t) in zip(ordered, templates, strict=True)]
-    fits = window_shares(F.col("words"), F.array_intersect(ranked, F.col("words")), spans if windows else [])
-    base = base.select("doc_id", F.size("words").cast("long").alias("n_words"), *places, blocks.alias("blocks"), fits.alias("fits"))
+    found_at = F.array_compact(F.transform("words", lambda x, i: F.when(x.isin(prefix), around(i))))
+    blocks = F.when(F.arrays_overlap("words", _strings(prefix)), found_at).otherwise(F.array().cast("array<struct<at:int,near:array<string>>>"))
+    base = base.select("doc_id", F.size("words").cast("long").alias("n_words"), *places, blocks.alias("blocks"))
     base = save(base.withColumn("rid", F.monotonically_increasing_id()), "license-scan")
 
-    # the join of blocks and templates on prefix words
+    # the join of places and templates on prefix words
     index = docs.sparkSession.createDataFrame(
-        [(w, i, p, label, s, len(s), need) for i, (label, s, need) in enumerate(ordered) for p, w in enumerate(s[: len(s) - need + 1])],
-        "token string, template int, at int, label string, members array<string>, n int, need int",
+        [(w, i, p, label, s, len(s), need, length) for i, (label, s, need, length) in enumerate(ordered) for p, w in enumerate(s[: len(s) - need + 1])],
+        "token string, template int, rank int, label string, members array<string>, n int, need int, length int",
     )
-    block = base.where(F.size("blocks") > 0).select("rid", F.posexplode("blocks").alias("block", "held"))
-    token = block.select("rid", "block", "held", F.posexplode("held").alias("pos", "token"))
-    met = token.join(F.broadcast(index), "token")
-    met = met.where(F.size("held") >= F.col("need"))
-    met = met.where(1 + F.least(F.size("held") - 1 - F.col("pos"), F.col("n") - 1 - F.col("at")) + F.least("pos", "at") >= F.col("need"))
-    met = met.withColumn("overlap", F.size(F.array_intersect("held", "members"))).where(F.col("overlap") >= F.col("need"))
-    met = met.groupBy("rid", "block", "template").agg(F.first("label").alias("label"), F.first(F.col("overlap") / F.col("n")).alias("share"))
-    found = met.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.count(F.lit(1)).alias("n_blocks"))
+    place = base.where(F.size("blocks") > 0).select("rid", F.explode("blocks").alias("b")).select("rid", "b.*")
+    met = place.withColumn("token", F.get("near", F.col("at"))).join(F.broadcast(index), "token")
+    # the words of all blocks with the place, and which of the template's they hold, in the template's order
+    start = F.greatest(F.lit(0), F.col("at") - F.col("length") + 1)
+    met = met.withColumn("near", F.slice("near", start + 1, F.col("at") - start + F.col("length"))).withColumn("at", F.col("at") - start)
+    met = met.withColumn("held", F.array_intersect("members", "near")).where(F.size("held") >= F.col("need"))
+    pos = F.array_position("held", F.col("token")).cast("int") - 1
+    met = met.where(1 + F.least(F.size("held") - 1 - pos, F.col("n") - 1 - F.col("rank")) + F.least(pos, F.col("rank")) >= F.col("need"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("at")), lambda i: F.array_contains(F.col("held"), F.get(F.col("near"), i)))
+    overlap = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(F.col("near"), i + 1, F.col("length")), F.col("held")))))
+    met = met.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
+    met = met.groupBy("rid", "template").agg(F.first("label").alias("label"), F.max(F.col("overlap") / F.col("n")).alias("share"))
+    found = met.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.count(F.lit(1)).alias("n_templates"))
 
     out = base.drop("blocks").join(found, "rid", "left")
     own = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))
     starts = F.flatten(F.array(*[F.col(f"p{i}") for i in range(len(phrases))]))
     out = out.withColumn("own", F.array_sort(F.array_distinct(own))).withColumn("starts", starts)
-    labels = F.array_sort(F.array_union(F.array_union("own", F.coalesce("found", F.array().cast("array<string>"))), F.col("fits.label")))
-    share = F.greatest(F.coalesce("share", F.lit(0.0)), F.coalesce(F.array_max("fits.share"), F.lit(0.0)))
+    labels = F.array_sort(F.array_union("own", F.coalesce("found", F.array().cast("array<string>"))))
     return out.select(
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
         F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
         F.array_join("own", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.when(F.size("own") > 0, 1.0).otherwise(share).alias("score"),
-        F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
+        F.when(F.size("own") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.coalesce("n_templates", F.lit(0)).cast("long").alias("n_templates"),
     )
 
 
@@ -173,34 +155,33 @@ def op7_license_scan(spark, sf_dir) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def op7_license_scan_whole(spark, sf_dir) -> DataFrame:
-    """Also notices that span line breaks; the SQL of ``op7_license_scan`` is given, and holds lines alone."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), windows=True)
-
-
 def oracle() -> str:
-    """Every block held against every template, every phrase against every word, without filters."""
+    """Every window held against every template, every phrase against every word, without filters.
+
+    Only windows that begin with a word of the template are listed: moving any other up to one loses none of its words.
+    """
     sep = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     hits = []
     for p, label in PHRASES:
         parts = p.split()
         test = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(parts))
         hits.append(f"SELECT r, i, '{label}' AS label FROM places WHERE {test}")
-    rows = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r}, {_need(len(set(t.split())), THRESHOLD)})" for i, (label, t) in enumerate(TEMPLATES))
+    rows = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r}, {_need(len(set(t.split())), THRESHOLD)}, {len(t.split())})" for i, (label, t) in enumerate(TEMPLATES))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
-ws AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{sep}'), lambda x: x <> '') AS w FROM d),
+ws AS (SELECT r, doc_id, list_filter(string_split_regex(t, '{sep}'), lambda x: x <> '') AS w FROM d),
 places AS (SELECT r, w, unnest(range(len(w))) AS i FROM ws),
 hit AS ({" UNION ALL ".join(hits)}),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS own FROM hit GROUP BY r),
-tpl AS (SELECT * FROM (VALUES {rows}) AS x(template, label, members, need)),
-blocks AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
-sets AS (SELECT r, list_distinct(string_split_regex(line, '{sep}')) AS s FROM blocks),
-fit AS (SELECT r, label, len(list_intersect(s, members)) AS overlap, len(members) AS n FROM sets JOIN tpl ON len(list_intersect(s, members)) >= need),
-found AS (SELECT r, list_distinct(list(label)) AS found, max(overlap / n) AS share, count(*) AS n_blocks FROM fit GROUP BY r)
+tpl AS (SELECT * FROM (VALUES {rows}) AS x(template, label, members, need, length)),
+words AS (SELECT template, label, members, need, length, unnest(members) AS word FROM tpl),
+win AS (SELECT r, template, label, len(members) AS n, need, len(list_intersect(list_distinct(w[i + 1:i + length]), members)) AS overlap
+        FROM places JOIN words ON w[i + 1] = word),
+fit AS (SELECT r, template, any_value(label) AS label, max(overlap / n) AS share FROM win WHERE overlap >= need GROUP BY r, template),
+found AS (SELECT r, list_distinct(list(label)) AS found, max(share) AS share, count(*) AS n_templates FROM fit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
        coalesce(array_to_string(own, ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(found, [])))), ','), '') AS labels,
        CASE WHEN own IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END AS score,
-       CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks
+       CAST(coalesce(n_templates, 0) AS BIGINT) AS n_templates
 FROM ws LEFT JOIN base USING (r) LEFT JOIN found USING (r)"""

@@ -14,7 +14,6 @@ def queries() -> dict:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_token_binary": token_binary.op6_token_binary,
         "op7_license_scan": license_scan.op7_license_scan,
-        "op7_license_scan_whole": license_scan.op7_license_scan_whole,
         "op8_best_fit": packing.op8_best_fit,
         "op9_top_k": top_k.op9_top_k,
         "op10_line_dedup": line_dedup.op10_line_dedup,
