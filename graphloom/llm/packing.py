@@ -1,29 +1,32 @@
-"""Best-fit packing into sequences of several permitted lengths.
-
-A document's tokens are its white-space separated words and an end token. A
-document longer than the largest length is cut into pieces of that length and a
-rest. Pieces are dealt by hash into groups of about ``GROUP`` and each group is
-packed by best-fit decreasing: a piece goes into the open bin it leaves fullest;
-if none can hold it, a bin of the length with the least cost for what is left to
-pack is opened. That rule and, for each permitted length, always opening it are
-all tried; the least total cost after downsizing, that is after every bin
-shrinks to the least permitted length that holds its contents, decides.
-
-Cases: a null or empty text has the end token alone; null ids and repeated rows
+"""Best-fit packing of token ids into sequences of several permitted lengths.
+
+A document's tokens are its token ids and an end id. A document longer than the
+largest length is cut into pieces of that length and a rest. Pieces are dealt by
+hash into groups of about ``GROUP`` pieces and ``GROUP_TOKENS`` tokens and each
+group is packed by best-fit decreasing: a piece goes into the open bin it leaves
+fullest; if none can hold it, a bin of the length with the least cost for what
+is left to pack is opened. That rule and, for each permitted length, always
+opening it are all tried; the least total cost after downsizing, that is after
+every bin shrinks to the least permitted length that holds its contents, decides.
+
+Cases: a null or empty text has the end id alone; null ids and repeated rows
 are packed like any other; an empty table gives no rows; very long texts are
 cut, never shortened; other columns are not read.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, slices
+from .token_binary import END_ID, worker_cache
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP = 20_000
+GROUP_TOKENS = 6_000_000
 
 
 def cost(length: int, largest: int) -> float:
@@ -73,31 +76,78 @@ def pack_group(sizes: list[int], lengths: tuple[int, ...]):
     return min((_pack(sizes, lengths, o) for o in (None, *lengths)), key=lambda x: x[0])[1:]
 
 
-def pack(docs: DataFrame, lengths=LENGTHS, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """``doc_id, piece, first_token, n_tokens, bin, bin_size, offset``: a row for each piece."""
+def token_pieces(docs: DataFrame, largest: int, id_col: str, text_col: str, tokenizer_path: str | None, end_id: int, tokens: bool) -> DataFrame:
+    """``rid, doc_id, piece, first_token, n_tokens, ids``: consecutive pieces of each document's ids, in 4 bytes each; without ``tokens`` no ids."""
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def cut(batches):
+        cache = None
+        for batch in slices(batches):
+            if cache is None:
+                cache = worker_cache(tokenizer_path, end_id)
+                end = np.array([end_id], cache.dtype).tobytes()
+            rid, piece, first, n, ids = [], [], [], [], []
+            for at, text in enumerate(batch.column(2).to_pylist()):
+                own = np.frombuffer(cache.encode(text) + end, cache.dtype)
+                for k, a in enumerate(range(0, len(own), largest)):
+                    part = own[a : a + largest]
+                    rid.append(at)
+                    piece.append(k)
+                    first.append(a)
+                    n.append(len(part))
+                    ids.append(part.astype("<u4").tobytes() if tokens else None)
+            at = pa.array(rid, pa.int64())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(piece, pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "piece", "first_token", "n_tokens", "ids"])
+
+    return rows.mapInArrow(cut, f"rid long, doc_id {kind}, piece int, first_token long, n_tokens int, ids binary")
+
+
+def pack(
+    docs: DataFrame,
+    lengths=LENGTHS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group: int = GROUP,
+    group_tokens: int = GROUP_TOKENS,
+    tokenizer_path: str | None = None,
+    end_id: int = END_ID,
+    tokens: bool = False,
+) -> DataFrame:
+    """``doc_id, piece, first_token, n_tokens, bin, bin_size, offset``: a row for each piece; with ``tokens`` also its ids."""
     lengths = tuple(sorted(lengths))
-    largest = lengths[-1]
-    text = F.trim(F.coalesce(F.col(text_col), F.lit("")))
-    n = F.when(text == "", 1).otherwise(F.size(F.split(text, r"\s+")) + 1)
-    items = docs.select(F.col(id_col).alias("doc_id"), n.cast("long").alias("n")).withColumn("rid", F.monotonically_increasing_id())
-    items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / largest).cast("int"))))
-    first = F.col("piece") * F.lit(largest)
-    items = items.select("doc_id", "rid", "piece", first.cast("long").alias("first_token"), F.least(F.lit(largest), F.col("n") - first).cast("int").alias("n_tokens"))
-    items = save(items, "pieces")
-    groups = max(1, -(-items.count() // group))
+    items = save(token_pieces(docs, lengths[-1], id_col, text_col, tokenizer_path, end_id, tokens), "pieces")
+    sums = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
+    groups = max(1, -(-sums["n"] // group), -(-sums["t"] // group_tokens))
     items = items.withColumn("g", F.pmod(F.xxhash64("rid", "piece"), F.lit(groups)))
+    kind = dict(items.dtypes)["doc_id"]
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "rid", "piece"], ascending=[False, True, True])
-        bins, offsets, final = pack_group(pdf["n_tokens"].tolist(), lengths)
-        out = pdf[["doc_id", "piece", "first_token", "n_tokens"]].copy()
-        out["bin"] = [(int(pdf["g"].iloc[0]) << 32) + b for b in bins]
-        out["bin_size"] = [final[b] for b in bins]
-        out["offset"] = offsets
-        return out
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n_tokens", "descending"), ("rid", "ascending"), ("piece", "ascending")])
+        bins, offsets, final = pack_group(table["n_tokens"].to_pylist(), lengths)
+        base = table["g"][0].as_py() << 32
+        columns = {c: table[c] for c in ("doc_id", "piece", "first_token", "n_tokens")}
+        columns |= {"bin": pa.array([base + b for b in bins], pa.int64()), "bin_size": pa.array([final[b] for b in bins], pa.int32()), "offset": pa.array(offsets, pa.int32())}
+        if tokens:
+            data = table["ids"].to_pylist()
+            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in data]))).astype(np.int32)
+            columns["tokens"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int64)))
+        return pa.table(columns)
 
-    kind = dict(items.dtypes)["doc_id"]
-    return items.groupBy("g").applyInPandas(packed, f"doc_id {kind}, piece int, first_token long, n_tokens int, bin long, bin_size int, offset int")
+    schema = f"doc_id {kind}, piece int, first_token long, n_tokens int, bin long, bin_size int, offset int" + (", tokens array<bigint>" if tokens else "")
+    return (items if tokens else items.drop("ids")).groupBy("g").applyInArrow(packed, schema)
+
+
+def sequences(packed: DataFrame, pad_id: int = 0) -> DataFrame:
+    """From pieces with tokens, a row for each sequence: ``bin, bin_size, n_tokens, doc_ids, starts, tokens``, padded to ``bin_size``.
+
+    ``starts`` are the places where the pieces begin. A sequence holds ``bin_size`` ids at most.
+    """
+    part = F.struct("offset", "doc_id", "n_tokens", "tokens")
+    out = packed.groupBy("bin", "bin_size").agg(F.sum("n_tokens").cast("int").alias("n_tokens"), F.sort_array(F.collect_list(part)).alias("parts"))
+    ids = F.concat(F.flatten("parts.tokens"), F.array_repeat(F.lit(pad_id).cast("long"), F.col("bin_size") - F.col("n_tokens")))
+    return out.select("bin", "bin_size", "n_tokens", F.col("parts.doc_id").alias("doc_ids"), F.col("parts.offset").alias("starts"), ids.alias("tokens"))
 
 
 def op8_best_fit(spark, sf_dir) -> DataFrame:
@@ -105,5 +155,11 @@ def op8_best_fit(spark, sf_dir) -> DataFrame:
 
 
 def stage_packing(spark, docs, sf_dir) -> DataFrame:
-    """Pipeline stage: the packed sequences' contents, a row for each piece of a document."""
-    return pack(docs)
+    """Pipeline stage: the packed sequences' contents, a row with its token ids for each piece of a document.
+
+    ``bin`` names the sequence, of ``bin_size`` ids, and ``offset`` the piece's
+    place in it; ``sequences`` puts them together. Null and empty texts have the
+    end id alone; null ids, repeated rows and very long texts are packed like any
+    other; other columns are not read; an empty table gives no rows.
+    """
+    return pack(docs, tokens=True)

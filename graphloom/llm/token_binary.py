@@ -20,6 +20,7 @@ no shard and no row; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
@@ -34,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import executors_hint, scratch_path
+from .common import scratch_path, slices
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 SHORT = 9  # letters; longer words with marks or capitals are put together anew
+SHARD_BYTES = 64_000_000  # of text, about
+READ_DOCS = 10_000  # documents whose offsets a reader holds at once
+READ_BYTES = 32_000_000  # of token ids that a reader holds at once, or one document's
 MARKS = ".,;:!?*#%&$)"
 LATIN_END = "\u0250"
 
@@ -69,7 +73,7 @@ class WordCache(dict):
             lower = head.lower()
             if lower != word:
                 out = self[lower] + self[word[len(head):]]
-                if len(word) <= SHORT:
+                if len(word) <= SHORT and len(self) < CACHE_WORDS:
                     self[word] = out
                 return out
         out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -81,6 +85,29 @@ class WordCache(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+class WholeTexts:
+    """Token bytes of whole texts, by any tokenizer."""
+
+    def __init__(self, tokenizer, dtype: str):
+        self.tokenizer, self.dtype = tokenizer, dtype
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+
+#: Fixed pattern of the pre-tokenizer for which ``WordCache`` holds.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and splits as ``WordCache`` assumes."""
+    parts = json.loads(tokenizer.to_str())
+    norms = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", ())]
+    splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", ())
+    split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    return norms == ["NFC", "Replace", "Lowercase"] and bool(splits) and splits[0] == split and [x["type"] for x in splits[1:]] == ["ByteLevel"] and parts["post_processor"] is None
+
+
 def load_tokenizer(path: str | None = None):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -92,7 +119,7 @@ def load_tokenizer(path: str | None = None):
     return Tokenizer.from_file(path)
 
 
-def worker_cache(tokenizer_path: str | None, end_id: int) -> WordCache:
+def worker_cache(tokenizer_path: str | None, end_id: int) -> WordCache | WholeTexts:
     """One cache for all tasks of a worker process, which Spark uses again and again."""
     state = sys.modules.setdefault("_graphloom_worker", types.ModuleType("_graphloom_worker"))
     caches = state.__dict__.setdefault("words", {})
@@ -101,7 +128,7 @@ def worker_cache(tokenizer_path: str | None, end_id: int) -> WordCache:
         tokenizer = load_tokenizer(tokenizer_path)
         small = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 65536
         caches.clear()
-        caches[key] = WordCache(tokenizer, "<u2" if small else "<u4")
+        caches[key] = (WordCache if by_words(tokenizer) else WholeTexts)(tokenizer, "<u2" if small else "<u4")
     return caches[key]
 
 
@@ -114,11 +141,26 @@ def _fs(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def _mapped(fs, path: str, dtype: str) -> np.ndarray:
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+class Ranges:
+    """A flat file's values by position: memory-mapped where it is local, else read range by range."""
+
+    def __init__(self, fs, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        size = fs.get_file_info(path).size
+        self.count = size // self.dtype.itemsize
+        self.file = None
+        if not size:
+            self.data = np.zeros(0, self.dtype)
+        elif isinstance(fs, pafs.LocalFileSystem):
+            self.data = np.memmap(path, dtype=self.dtype, mode="r")
+        else:
+            self.file, self.data = fs.open_input_file(path), None
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.file is None:
+            return self.data[span]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((span.stop - span.start) * width, span.start * width), self.dtype)
 
 
 def write_token_files(
@@ -130,13 +172,15 @@ def write_token_files(
     end_id: int = END_ID,
     shards: int | None = None,
 ) -> DataFrame:
-    """Encode and write; returns the manifest ``shard, path, docs, tokens, base, first_doc``.
+    """Encode and write, one shard for about ``SHARD_BYTES`` of text; returns the manifest ``shard, path, docs, tokens, base, first_doc``.
 
     The manifest holds one row a shard, so it may be collected and broadcast.
     """
     spark = docs.sparkSession
-    shards = shards or executors_hint(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    if shards is None:
+        sums = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
+        shards = max(1, -(-(sums["b"] + 16 * sums["n"]) // SHARD_BYTES), min(sums["n"], spark.sparkContext.defaultParallelism))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     dealt = dealt.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
@@ -145,10 +189,8 @@ def write_token_files(
         from pyspark import TaskContext
 
         cache, out, totals = None, None, [0, 0]
-        for batch in batches:
+        for batch in slices(batches):
             if out is None:
-                if not batch.num_rows:
-                    continue
                 cache = worker_cache(tokenizer_path, end_id)
                 dtype = cache.dtype
                 fs, root = _fs(folder)
@@ -195,17 +237,25 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for path, base in zip(pdf["path"], pdf["base"], strict=True):
                 fs, root = _fs(path)
                 dtype = "<" + root.rsplit("/", 1)[1].split("-")[2]
-                tokens = _mapped(fs, f"{root}/tokens.bin", dtype)
-                offsets = _mapped(fs, f"{root}/offsets.bin", "<i8")
-                docs = _mapped(fs, f"{root}/docs.bin", "<i8")
-                nulls = set(_mapped(fs, f"{root}/ids.null", "<i8").tolist())
-                for a in range(0, len(docs), 10_000):
-                    span = range(a, min(a + 10_000, len(docs)))
-                    crc = [zlib.crc32(tokens[offsets[i]:offsets[i + 1]].astype("<u4").tobytes()) for i in span]
+                tokens = Ranges(fs, f"{root}/tokens.bin", dtype)
+                offsets = Ranges(fs, f"{root}/offsets.bin", "<i8")
+                docs = Ranges(fs, f"{root}/docs.bin", "<i8")
+                empty = Ranges(fs, f"{root}/ids.null", "<i8")
+                nulls = set(empty[0 : empty.count].tolist())
+                for a in range(0, docs.count, READ_DOCS):
+                    b = min(a + READ_DOCS, docs.count)
+                    at = np.asarray(offsets[a : b + 1])
+                    crc, i = [], 0
+                    while i < b - a:
+                        j = max(i + 1, int(np.searchsorted(at, at[i] + READ_BYTES // tokens.dtype.itemsize, side="right")) - 1)
+                        j = min(j, b - a)
+                        part = tokens[int(at[i]) : int(at[j])]
+                        crc += [zlib.crc32(part[at[x] - at[i] : at[x + 1] - at[i]].astype("<u4").tobytes()) for x in range(i, j)]
+                        i = j
                     yield pd.DataFrame({
-                        "doc_id": pd.array([None if i in nulls else int(docs[i]) for i in span], dtype="Int64"),
-                        "start": offsets[a:span.stop] + base,
-                        "n_tokens": offsets[a + 1:span.stop + 1] - offsets[a:span.stop],
+                        "doc_id": pd.array([None if a + i in nulls else int(x) for i, x in enumerate(docs[a:b])], dtype="Int64"),
+                        "start": at[:-1] + base,
+                        "n_tokens": np.diff(at),
                         "ids_crc32": np.array(crc, dtype="int64"),
                     })
 
