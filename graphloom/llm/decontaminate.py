@@ -14,19 +14,26 @@ the root fixes the window in which the item's least distance is found.
 Items come in blocks of bounded size; each block is one pass over the texts, so
 neither memory nor what is broadcast grows with the benchmark.
 
-Cases: null or empty texts and items match nothing; a text is read whole;
-equal items each match; repeated documents each get their rows; empty tables
-give no rows; other columns are not read.
+Cases: null or empty texts and items match nothing; an item of so few
+characters that it has no budget (below 10 at a rate of 0.1) matches whole words
+only, as ``cat`` does not stand in ``concatenate``; a text is read whole; equal
+items each match; repeated documents and null ids each get their rows; empty
+tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import types
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 RATE = 0.1
 BLOCK_CHARS = 4_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -83,7 +90,10 @@ class Item:
     """An item, its pieces, and of each piece the ancestors below the root: (start, end, errors, Myers)."""
 
     def __init__(self, item_id: int, text: str, budget: int):
+        if not budget:
+            text = f" {text} "  # whole words
         self.id, self.text, self.budget = item_id, text, budget
+        self.inset = 0 if budget else 1
         self.pieces = pieces(text, budget)
         self.forward, self.backward = Myers(text), Myers(text[::-1])
         self.paths: list[list[tuple[int, int, int, Myers]]] = [[] for _ in self.pieces]
@@ -135,6 +145,7 @@ class PieceIndex:
         t = normal(text)
         if not t or not self.items:
             return []
+        size, t = len(t), f" {t} "
         starts: dict[int, set[int]] = {}
         for end, (n, places) in self.automaton.iter(t):
             at = end - n + 1
@@ -162,7 +173,8 @@ class PieceIndex:
                     if first or d == 0:
                         break
             if best:
-                out.append((item.id, *best))
+                d, lo, hi = best  # places without the blanks around the text
+                out.append((item.id, d, max(0, lo - 1 + item.inset), min(size, hi - 1 - item.inset)))
                 if first:
                     break
         return out
@@ -185,25 +197,22 @@ def _windows(starts: list[int], budget: int, length: int):
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, rate: float):
-    """Indexes over blocks of items, each of about ``BLOCK_CHARS`` characters."""
+    """Items in blocks, each of about ``BLOCK_CHARS`` characters, as broadcasts with names of their own."""
     total = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     for b in range(n):
         part = benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == b) if n > 1 else benchmark
         rows = part.where(F.col(text_col).isNotNull()).select(id_col, text_col).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(([(r[0], r[1]) for r in rows], rate))
-
-
-_built: dict[int, PieceIndex] = {}
+        yield uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(([(r[0], r[1]) for r in rows], rate))
 
 
-def _index(held) -> PieceIndex:
-    """Built once a worker process."""
-    key = id(held.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = PieceIndex(*held.value)
-    return _built[key]
+def _index(name: str, held) -> PieceIndex:
+    """Built once in a worker process, which Spark uses for many tasks; the last block's index is kept."""
+    state = sys.modules.setdefault("_graphloom_pieces", types.ModuleType("_graphloom_pieces")).__dict__
+    if state.get("name") != name:
+        state.pop("index", None)
+        state["index"], state["name"] = PieceIndex(*held.value), name
+    return state["index"]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -214,14 +223,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
     schema = "doc_id long, item_id long, distance int, start int, end int"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for held in _blocks(benchmark, item_col, item_text_col, rate):
+    for name, held in _blocks(benchmark, item_col, item_text_col, rate):
 
-        def search(frames, held=held):
-            index = _index(held)
+        def search(frames, name=name, held=held):
+            index = _index(name, held)
             for pdf in frames:
                 rows = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for m in index.matches(t)]
                 frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+                release()
 
         out = out.union(source.mapInPandas(search, schema))
     return out
@@ -229,15 +239,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
 
 def is_leaking(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text"):
     """A list of boolean columns, one for each block of items."""
-    def test(held):
+    def test(name, held):
         @F.pandas_udf("boolean")
         def leaks(texts: pd.Series) -> pd.Series:
-            index = _index(held)
-            return pd.Series([bool(index.matches(t, first=True)) for t in texts], dtype=bool)
+            index = _index(name, held)
+            out = pd.Series([bool(index.matches(t, first=True)) for t in texts], dtype=bool)
+            release()
+            return out
 
         return leaks(F.col(text_col))
 
-    return [test(held) for held in _blocks(benchmark, "item_id", "text", rate)]
+    return [test(*block) for block in _blocks(benchmark, "item_id", "text", rate)]
 
 
 def op5_decontaminate(spark, sf_dir) -> DataFrame:
@@ -247,7 +259,12 @@ def op5_decontaminate(spark, sf_dir) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs, sf_dir) -> DataFrame:
-    """Pipeline stage: drop every document that holds a benchmark item within the edit budget."""
+    """Pipeline stage: drop every document that holds a benchmark item within the edit budget.
+
+    Null and empty texts stay; rows with null ids, repeated rows and very long
+    texts are judged like any other; no column is added, so names cannot clash;
+    an empty table stays empty, and with an empty benchmark all documents stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     for leaks in is_leaking(docs, items):
         docs = docs.where(~leaks)

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, free_name
+from .common import chunks, free_name, release
 
 NGRAM = 5
 HASHES = 3
@@ -186,6 +186,7 @@ def train(docs: DataFrame, where, per_language: int = 400, share: float = 0.25)
                     seen = np.concatenate([_grams(_fold(t)) for t in group["text"].iloc[a:b]])
                     g, n = np.unique(seen, return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": g.view(np.int64), "n": n})
+        release()
 
     counts = chosen.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
@@ -205,6 +206,7 @@ def judge(spark, model: LanguageFilter):
     @F.pandas_udf("lang_pred string, score double, known double")
     def of(texts: pd.Series) -> pd.DataFrame:
         labels, scores, known = LanguageFilter(*held.value).decide(texts)
+        release()
         return pd.DataFrame({"lang_pred": labels, "score": scores, "known": known})
 
     return of

@@ -22,8 +22,8 @@ script without blanks is one word.
 
 Cases: a null or empty text is left as it is; rows with equal id and text are
 one document and equally treated; blank lines stay; empty tables give no rows;
-a null id takes a negative hash of its text as its place; other columns are
-kept by the stage and not read by the operator.
+a null id takes a negative hash of its text as its place; other columns, of any
+name, are kept and not read; a line of n words costs n * sqrt(n) hash terms.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, doc_key, save
+from .common import discard, doc_key, free_name, save
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
@@ -176,26 +176,34 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return every.where(F.col("near") | (place != F.col("first"))).select("dk", "th", "no", "near")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int | None = None) -> DataFrame:
-    """``docs`` with duplicate lines taken out of the text, and ``lines_removed``: struct of ``exact``, ``near``, ``kept``."""
-    dk, th = "__line_dk", "__line_th"
-    gone = find_duplicates(docs, id_col, text_col, least_chars).groupBy(F.col("dk").alias(dk), F.col("th").alias(th)).agg(
-        F.collect_set("no").alias("__line_gone"), F.countDistinct(F.when(F.col("near"), F.col("no"))).alias("__line_near")
+def _without_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int | None) -> DataFrame:
+    """``row`` (of all columns), ``kept_text`` and ``removed``: struct of ``exact``, ``near``, ``kept``."""
+    gone = find_duplicates(docs, id_col, text_col, least_chars).groupBy("dk", "th").agg(
+        F.collect_set("no").alias("gone"), F.countDistinct(F.when(F.col("near"), F.col("no"))).cast("int").alias("near")
     )
-    keyed = docs.withColumn(dk, doc_key(F.col(id_col), F.col(text_col))).withColumn(th, F.xxhash64(text_col))
-    out = keyed.join(gone, [dk, th], "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, doc_key(F.col(id_col), F.col(text_col)).alias("dk"), F.xxhash64(text_col).alias("th"))
+    out = keyed.join(gone, ["dk", "th"], "left").withColumn("text", F.col(f"row.`{text_col}`"))
     # only texts that lose lines are split
-    out = out.withColumn("__line_all", F.when(F.col("__line_gone").isNotNull(), F.split(F.col(text_col), "\n")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__line_all") - 1), F.col("__line_gone"))
-    lines = F.transform(kept, lambda i: F.get(F.col("__line_all"), i))
-    out = out.withColumn("__line_text", F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")))
-    removed = F.when(F.col("__line_gone").isNull(), 0).otherwise(F.size("__line_gone"))
-    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
-    total = F.when(F.octet_length(text_col) > 0, breaks + 1).otherwise(0)
-    near = F.coalesce("__line_near", F.lit(0)).cast("int")
-    out = out.withColumn("lines_removed", F.struct((removed - near).alias("exact"), near.alias("near"), (total - removed).alias("kept")))
-    columns = [F.col("__line_text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns, "lines_removed")
+    out = out.withColumn("all", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
+    lines = F.transform(kept, lambda i: F.get(F.col("all"), i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    total = F.when(F.octet_length("text") > 0, breaks + 1).otherwise(0)
+    near = F.coalesce("near", F.lit(0))
+    return out.select("row", text.alias("kept_text"), F.struct((removed - near).alias("exact"), near.alias("near"), (total - removed).alias("kept")).alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int | None = None) -> DataFrame:
+    """``docs`` with duplicate lines taken out of the text, and ``lines_removed``: struct of ``exact``, ``near``, ``kept``.
+
+    A column of the documents named ``lines_removed`` keeps its name, and the result takes the next free one.
+    """
+    out = _without_lines(docs, id_col, text_col, least_chars)
+    columns = [F.col("kept_text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return out.select(*columns, F.col("removed").alias(free_name(docs, "lines_removed")))
 
 
 def op10_line_dedup(spark, sf_dir) -> DataFrame:
@@ -206,13 +214,15 @@ def op10_line_dedup(spark, sf_dir) -> DataFrame:
 def stage_line_dedup(spark, docs, sf_dir) -> DataFrame:
     """Pipeline stage: duplicate lines go from the texts, and documents of which no line is left.
 
-    ``n_chars``, where there is one, follows the new text.
+    ``n_chars``, where there is one, follows the new text. Null and empty texts
+    stay; columns of any name are kept; an empty table stays empty.
     """
-    out = dedup_lines(docs, least_chars=LEAST_CHARS)
-    emptied = (F.col("lines_removed.kept") == 0) & (F.col("lines_removed.exact") + F.col("lines_removed.near") > 0)
-    out = out.where(~emptied)
-    columns = [F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    out = _without_lines(docs, "doc_id", "text", LEAST_CHARS)
+    emptied = (F.col("removed.kept") == 0) & (F.col("removed.exact") + F.col("removed.near") > 0)
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    columns = [new[c].cast(kinds[c]).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns]
+    return out.where(~emptied).select(*columns)
 
 
 def oracle() -> str:

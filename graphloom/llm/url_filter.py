@@ -8,7 +8,9 @@ their regular expressions; rules without a usable token are always candidates.
 
 Cases: a null url, or one without ``://``, has an empty host and path and is
 judged by the default verdict; empty tables give empty results; repeated rows
-are judged one by one; other columns are not read.
+are judged one by one; other columns are not read, and one that has the result's
+name keeps it, the result taking the next free one. Rules of more than
+``MOST_RULE_CHARS`` characters in all are an error.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
+#: Rules go to every worker: so many characters at most, whatever the table.
+MOST_RULE_CHARS = 64_000_000
 _TOKEN = re.compile(r"[a-z0-9]+")
 _UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -153,6 +159,8 @@ def filter_urls(
     blocking one, else ``default``. ``pattern`` is the method's rule, if one decided.
     """
     rules = [host_rule(*r) for r in host_rules] + [pattern_rule(*r) for r in pattern_rules]
+    if sum(len(r.regex) for r in rules) > MOST_RULE_CHARS:
+        raise ValueError(f"rules of more than {MOST_RULE_CHARS} characters")
     vocabulary = {t for r in rules for t in r.tokens}
     index = RuleIndex(rules, token_counts(pages, url_col, vocabulary) if vocabulary else {})
 
@@ -161,7 +169,7 @@ def filter_urls(
         out = [index.judge(u, default) for u in urls]
         return pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "pattern"], dtype=object)
 
-    return pages.withColumn("url_judged", judge(F.col(url_col).cast("string")))
+    return pages.withColumn(free_name(pages, "url_judged"), judge(F.col(url_col).cast("string")))
 
 
 def op1_url_filter(spark, sf_dir) -> DataFrame:
