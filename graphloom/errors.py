@@ -19,3 +19,7 @@ class CardinalityError(GraphError):
 
 class ConstraintError(GraphError):
     """A key, uniqueness, endpoint or property rule would be broken; nothing was changed."""
+
+
+class CancelledError(GraphError):
+    """The caller ended the query while it ran."""

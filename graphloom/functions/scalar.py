@@ -353,8 +353,9 @@ def count_of(values: Column, test=None) -> Column:
     return F.when(values.isNotNull(), F.size(values if test is None else F.filter(values, test)))
 
 
-def sum_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+def sum_of(values: Column, kind: str = "double") -> Column:
+    """The sum in the given type: ``long`` or a decimal keeps all digits."""
+    return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: (a + F.coalesce(x.cast(kind), F.lit(0).cast(kind))).cast(kind))
 
 
 def average_of(values: Column) -> Column:

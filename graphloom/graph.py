@@ -24,23 +24,46 @@ STRUCTURAL_EDGE = ("_eid", "_type", "_src", "_dst")
 
 
 def node_id(space: int, key: Column) -> Column:
-    """Identity over all types: the type's number above 48 bits of key."""
-    return F.lit(space << 48) + key.cast("long")
+    """Identity over all types: the type's number above 48 bits of key; a key beyond them is an error."""
+    key = key.cast("long")
+    fits = key.between(0, (1 << 48) - 1) | key.isNull()
+    return F.when(fits, F.lit(space << 48) + key).otherwise(F.raise_error(F.lit("a node's key needs more than 48 bits")).cast("long"))
 
 
 class PropertyGraph:
     def __init__(self, spark: SparkSession, registry: Registry, nodes: Mapping[str, DataFrame], edges: Mapping[str, DataFrame]):
         self.spark, self.registry = spark, registry
         self.node_tables, self.edge_tables = dict(nodes), dict(edges)
+        #: The next free ids by type, and how many changes a table has had since it was last written.
+        self.counters: dict[tuple[str, str], int] = {}
+        self.pending: dict[tuple[str, str], int] = {}
 
     def replaced(self, nodes: Mapping[str, DataFrame] | None = None, edges: Mapping[str, DataFrame] | None = None) -> PropertyGraph:
         """A snapshot with some tables replaced."""
-        return PropertyGraph(self.spark, self.registry, self.node_tables | dict(nodes or {}), self.edge_tables | dict(edges or {}))
+        out = PropertyGraph(self.spark, self.registry, {}, {})
+        out.node_tables, out.edge_tables = self.node_tables | dict(nodes or {}), self.edge_tables | dict(edges or {})
+        if type(self.node_tables) is not dict:  # tables that open at first use stay so
+            out.node_tables, out.edge_tables = type(self.node_tables)(out.node_tables), type(self.edge_tables)(out.edge_tables)
+        out.counters, out.pending = dict(self.counters), dict(self.pending)
+        return out
+
+    def owner_of_type(self, kind: str) -> str:
+        """The relationship table that holds a concrete type."""
+        return self.registry.edge_owner(kind) if kind in self.registry.edges else kind
+
+    def owner_of_label(self, label: str) -> str:
+        return self.registry.owner(label) if label in self.registry.nodes else label
+
+    def edge_table_names(self, kind: str | None) -> list[str]:
+        """The tables in which relationships of the type can be."""
+        reg = self.registry
+        names = list(self.edge_tables) if kind is None else dict.fromkeys(reg.edge_owner(k) for k in reg.compatible_types(kind))
+        return [n for n in names if n in self.edge_tables]
 
     # tables
 
     def node_df(self, label: str) -> DataFrame:
-        """All nodes of the type or of one that derives from it; reads no other table."""
+        """All nodes of the type or of one that derives from it, in the base type's scope; reads no other table."""
         reg = self.registry
         owner = reg.owner(label)
         parts = []

@@ -258,12 +258,12 @@ class GraphQuery:
     def _identity(self) -> list[str]:
         if self.kind == "node":
             return [column(self.aliases[-1], "_nid")]
-        if self.kind == "edge":
-            return [column(self.aliases[-1], "_eid")]
+        if self.kind == "edge":  # an id is unique within its type
+            return [column(self.aliases[-1], c) for c in ("_type", "_eid")]
         if self.kind == "segment":
-            return [column(self.aliases[0], "_nid"), column(self.aliases[1], "_eid"), column(self.aliases[2], "_nid")]
+            return [column(self.aliases[0], "_nid"), *[column(self.aliases[1], c) for c in ("_type", "_eid")], column(self.aliases[2], "_nid")]
         if self.kind == "mixed":
-            return ["kind", "_id"]
+            return ["kind", "_labels", "_id"]
         return self._visible()
 
     def _visible(self) -> list[str]:
@@ -336,7 +336,7 @@ class GraphQuery:
         if max_depth is None:
             q = traverse.segments(self, kind, target, direction, where)
         else:
-            q = traverse.trails(self, kind, target, 1 if min_depth is None else min_depth, max_depth, direction, where)
+            q = traverse.trails(self, kind, target, 1 if min_depth is None else min_depth, max_depth, direction, where, paths=False)
         return replace(q, kind="node", aliases=q.aliases[-1:], types=q.types[-1:], stage="traversed")
 
     def reverse_traverse(self, kind: str | None, target: str | None, where: Callable | None = None) -> GraphQuery:

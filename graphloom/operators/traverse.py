@@ -2,8 +2,13 @@
 
 A hop joins the nodes in scope with oriented relationships and these with the
 target nodes. Depth ranges unroll into one join a hop over ids alone; every
-trail uses a relationship once, and relationship filters apply before the first
-hop. Shortest paths advance level by level with an anti-join on what was seen.
+trail uses a relationship once, where one is told by its id and, if relationships
+of several tables are in scope, its type; relationship filters apply before the
+first hop, and an id that no node table holds is no step of a trail. Shortest
+paths advance level by level with an anti-join on what was seen, from the
+sources or, where a predicate leaves fewer of them, backwards from the
+endpoints; these levels, and trails deeper than ``UNROLL``, run jobs while the
+query is built.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ def oriented(graph, kind: str | None, direction: str, where: Callable | None, ke
         scope.df = df.select(*[F.col(f"`{c}`").alias(column("r", c)) for c in df.columns])
         renamed = scope.df.filter(where(EntityRef(scope, "r")))
         df = renamed.select(*[F.col(f"`{c}`").alias(c[3:]) for c in renamed.columns])
-    kept = [F.col(f"`{c}`") for c in df.columns] if keep else [F.col("_eid")] if "_eid" in df.columns else []
+    kept = [F.col(f"`{c}`") for c in df.columns] if keep else [F.col(c) for c in ("_eid", "_type") if c in df.columns]
 
     def way(a: str, b: str, name: str, source: DataFrame) -> DataFrame:
         return source.select(F.col(a).alias("__from"), F.col(b).alias("__to"), F.lit(name).alias("__dir"), *kept)
@@ -86,58 +91,112 @@ def _check_depth(low: int, high: int) -> None:
         raise GraphQueryError(f"a depth over {MAX_DEPTH} is not supported")
 
 
-_SEGMENT = "struct<start:bigint,eid:bigint,end:bigint,direction:string>"
+class _Trails:
+    """How trails are held while they grow: ids alone, in arrays.
 
+    ``s, cur, nodes, eids`` and, for both directions, ``outs``. Where several
+    tables are in scope, ``eids`` holds (eid, type).
+    """
 
-def _advance(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """``s, cur, segments`` one hop further; no relationship twice in a trail."""
-    step = frontier.join(edges, F.col("cur") == F.col("__from"))
-    step = step.filter(~F.exists("segments", lambda g: g["eid"] == F.col("_eid")))
-    hop = F.struct(F.col("cur").alias("start"), F.col("_eid").alias("eid"), F.col("__to").alias("end"), F.col("__dir").alias("direction")).cast(_SEGMENT)
-    return step.select("s", F.col("__to").alias("cur"), F.concat("segments", F.array(hop)).alias("segments"))
+    def __init__(self, graph, kind, direction: str):
+        self.several = len(graph.edge_table_names(kind)) > 1
+        self.direction = direction
+        self.columns = ["nodes", "eids", *(["outs"] if direction == "both" else [])]
+
+    def start(self, ids: DataFrame) -> DataFrame:
+        kinds = {"nodes": "array<bigint>", "eids": "array<struct<eid:bigint,type:string>>" if self.several else "array<bigint>", "outs": "array<boolean>"}
+        return ids.select("s", F.col("s").alias("cur"), *[F.array().cast(kinds[c]).alias(c) for c in self.columns])
+
+    def advance(self, frontier: DataFrame, edges: DataFrame) -> DataFrame:
+        """One hop further; no relationship twice in a trail."""
+        used = F.struct(F.col("_eid").alias("eid"), F.col("_type").alias("type")) if self.several else F.col("_eid")
+        step = frontier.join(edges, F.col("cur") == F.col("__from")).filter(~F.array_contains("eids", used))
+        new = {"nodes": F.col("__to"), "eids": used, "outs": F.col("__dir") == "out"}
+        return step.select("s", F.col("__to").alias("cur"), *[F.concat(c, F.array(new[c])).alias(c) for c in self.columns])
+
+    def turned(self, trails: DataFrame) -> DataFrame:
+        """Trails that were found backwards, as from their other end."""
+        before = F.slice(F.concat(F.array("s"), "nodes"), F.lit(1), F.size("nodes"))
+        new = {"nodes": F.reverse(before), "eids": F.reverse("eids"), "outs": F.transform(F.reverse("outs"), lambda x: ~x) if "outs" in self.columns else None}
+        return trails.select(F.col("cur").alias("s"), F.col("s").alias("cur"), *[new[c].alias(c) for c in self.columns])
+
+    def segments(self):
+        """An array of (start, eid, end, direction), and the type where several tables are in scope."""
+        def of(i):
+            eid = F.get("eids", i)
+            way = F.when(F.get("outs", i), "out").otherwise("in") if "outs" in self.columns else F.lit(self.direction)
+            parts = [
+                F.when(i == 0, F.col("s")).otherwise(F.get("nodes", i - 1)).alias("start"), (eid["eid"] if self.several else eid).alias("eid"),
+                F.get("nodes", i).alias("end"), way.alias("direction"), *([eid["type"].alias("type")] if self.several else []),
+            ]
+            return F.struct(*parts)
+
+        return F.transform(F.sequence(F.lit(0), F.size("eids") - 1), of)
+
+
+def _sources(q, src: str) -> DataFrame:
+    return q.df.select(F.col(column(src, "_nid")).alias("s")).distinct()
+
+
+def _steps(graph, kind, direction, where) -> DataFrame:
+    """Oriented relationships whose far end is a node."""
+    declared = graph.registry.edges.get(kind) if kind is not None else None
+    ends = [] if declared is None else {"out": [declared.target], "in": [declared.source], "both": [declared.source, declared.target]}[direction]
+    if ends and all(x is not None for x in ends):
+        there = reduce(DataFrame.unionByName, [graph.node_df(x).select("_nid") for x in dict.fromkeys(ends)])
+    else:
+        there = reduce(DataFrame.unionByName, [t.select("_nid") for t in graph.node_tables.values()])
+    return oriented(graph, kind, direction, where).join(there.select(F.col("_nid").alias("__to")), "__to", "left_semi")
 
 
-def _start(q, src: str) -> DataFrame:
-    nid = F.col(column(src, "_nid"))
-    return q.df.select(nid.alias("s")).distinct().select("s", F.col("s").alias("cur"), F.array().cast(f"array<{_SEGMENT}>").alias("segments"))
+def _targets_where(graph, target, alias: str, keep) -> DataFrame:
+    nodes = _targets(graph, target, alias)
+    return nodes if keep is None else nodes.filter(keep(EntityRef(type("Scope", (), {"df": nodes})(), alias)))
 
 
-def _attach(q, src: str, rel: str, tgt: str, kind, target, paths: DataFrame, keep=None):
+def _attach(q, src: str, rel: str, tgt: str, kind, target, found: DataFrame, how: _Trails | None, keep=None):
     """Join source rows, found trails and target nodes; their properties meet here only."""
-    nodes = _targets(q.graph, target, tgt)
-    if keep is not None:
-        nodes = nodes.filter(keep(EntityRef(type("Scope", (), {"df": nodes})(), tgt)))
-    found = paths.select(F.col("s").alias("__s"), F.col("cur").alias("__e"), F.col("segments").alias(column(rel, "segments")))
+    nodes = _targets_where(q.graph, target, tgt, keep)
+    paths = [] if how is None else [how.segments().alias(column(rel, "segments"))]
+    found = found.select(F.col("s").alias("__s"), F.col("cur").alias("__e"), *paths)
     df = q.df.join(found, F.col(column(src, "_nid")) == F.col("__s")).join(nodes, F.col("__e") == F.col(column(tgt, "_nid")))
     return replace(q, df=df.drop("__s", "__e"), kind="path", aliases=(src, rel, tgt), types=(q.types[-1], kind, target), stage="traversed", bare=False)
 
 
-def trails(query, kind, target, low: int, high: int, direction, where):
+def trails(query, kind, target, low: int, high: int, direction, where, paths: bool = True):
     _check_depth(low, high)
     q, src, rel, tgt = _source(query, "a traversal")
-    edges = oriented(q.graph, kind, direction, where)
-    frontier, levels = _start(q, src), []
+    edges = _steps(q.graph, kind, direction, where)
+    how = _Trails(q.graph, kind, direction)
+    frontier, levels = how.start(_sources(q, src)), []
     for depth in range(1, high + 1):
-        frontier = _advance(frontier, edges)
+        frontier = how.advance(frontier, edges)
         if depth % UNROLL == 0 and depth < high:
             frontier = cut(frontier)
         if depth >= low:
             levels.append(frontier)
-    return _attach(q, src, rel, tgt, kind, target, reduce(DataFrame.unionByName, levels))
+    return _attach(q, src, rel, tgt, kind, target, reduce(DataFrame.unionByName, levels), how if paths else None)
 
 
 def shortest(query, kind, target, predicate, direction, every: bool, max_depth: int | None = None):
     q, src, rel, tgt = _source(query, "a shortest path")
-    edges = oriented(q.graph, kind, direction, None)
-    frontier = _start(q, src)
+    starts = _sources(q, src)
+    back = False
+    if predicate is not None:
+        ends = cut(_targets_where(q.graph, target, tgt, predicate).select(F.col(column(tgt, "_nid")).alias("s")).distinct())
+        back = ends.count() < starts.count()
+    way = {"out": "in", "in": "out"}.get(direction, direction) if back else direction
+    how = _Trails(q.graph, kind, way)
+    edges = cut(_steps(q.graph, kind, way, None))
+    frontier = how.start(ends if back else starts)
     seen = cut(frontier.select("s", "cur"))
     levels: list[DataFrame] = []
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = _advance(frontier, edges).join(seen, ["s", "cur"], "left_anti")
+        step = how.advance(frontier, edges).join(seen, ["s", "cur"], "left_anti")
         if not every:
-            step = step.groupBy("s", "cur").agg(F.min("segments").alias("segments"))
+            step = step.groupBy("s", "cur").agg(F.min(F.struct("eids", *[c for c in how.columns if c != "eids"])).alias("p")).select("s", "cur", *[f"p.{c}" for c in how.columns])
         frontier = cut(step)
         if not frontier.take(1):
             break
@@ -145,9 +204,11 @@ def shortest(query, kind, target, predicate, direction, every: bool, max_depth:
         seen = seen.unionByName(frontier.select("s", "cur").distinct())
         if depth % UNROLL == 0:
             seen = cut(seen)
-    if not levels:
-        levels = [frontier]
-    return _attach(q, src, rel, tgt, kind, target, reduce(DataFrame.unionByName, levels), keep=predicate)
+    found = reduce(DataFrame.unionByName, levels or [frontier])
+    if back:
+        how.direction = direction
+        found = how.turned(found)
+    return _attach(q, src, rel, tgt, kind, target, found, how, keep=predicate)
 
 
 def with_degree(graph, df: DataFrame, alias: str, kind, direction: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph, node_id
@@ -49,10 +49,34 @@ def registry() -> Registry:
         EdgeType("PLACED_URGENT", "Customer", "UrgentOrder", parent="PLACED", where="priority = '1-URGENT'"),
         EdgeType("CONTAINS", "Order", "Part"), EdgeType("SUPPLIED_BY", "Order", "Supplier"),
         EdgeType("LIVES_IN", "Customer", "Nation"), EdgeType("BASED_IN", "Supplier", "Nation"), EdgeType("PART_OF", "Nation", "Region"),
-        EdgeType("NEXT_TURN", "Turn", "Turn"), EdgeType("NEXT_EVENT", "Event", "Event"), EdgeType("REFERS", "Customer", "Customer"),
+        EdgeType("NEXT_TURN", "Turn", "Turn"), EdgeType("NEXT_EVENT", "Event", "Event"), EdgeType("REFERS", "Customer", "Customer"), EdgeType("BORDERS", "Nation", "Nation"),
     )
 
 
+#: Bits of a turn's key below the conversation's.
+TURN_BITS = 18
+#: Bits of a row's place below its file's number; a listing of files beyond ``MOST_FILES`` is an error.
+ROW_BITS, MOST_FILES = 40, 1 << 16
+
+
+def turn_key() -> Column:
+    """Conversation and turn as one number; a turn beyond its bits is an error."""
+    turn = F.col("turn").cast("long")
+    fits = turn.between(0, (1 << TURN_BITS) - 1) | turn.isNull()
+    return F.when(fits, F.col("conv_id").cast("long") * (1 << TURN_BITS) + turn).otherwise(F.raise_error(F.lit(f"a turn needs more than {TURN_BITS} bits")).cast("long"))
+
+
+def row_number(df: DataFrame) -> Column:
+    """Identity of a row of files: the file's place in the listing, and the row's place in the file. Equal rows differ."""
+    files = sorted(df.inputFiles())
+    if len(files) > MOST_FILES:
+        raise ValueError(f"a table of more than {MOST_FILES} files needs a key of its own")
+    if len(files) < 2:
+        return F.col("_metadata.row_index")
+    number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
+    return number[F.col("_metadata.file_path")].cast("long") * (1 << ROW_BITS) + F.col("_metadata.row_index")
+
+
 def load_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -67,12 +91,12 @@ def load_graph(spark: SparkSession, folder: str) -> PropertyGraph:
 
     def turns():
         df = table("conversations")
-        return df.select(node_id(SPACES["Turn"], F.col("conv_id") * 1000 + F.col("turn")).alias("_nid"), F.array(F.lit("Turn")).alias("_labels"), *df.columns)
+        return df.select(node_id(SPACES["Turn"], turn_key()).alias("_nid"), F.array(F.lit("Turn")).alias("_labels"), *df.columns)
 
-    def edges(kind: str, name: str, source: tuple[str, str], target: tuple[str, str], properties: dict[str, str] | None = None, key: tuple[str, ...] = ()):
+    def edges(kind: str, name: str, source: tuple[str, str], target: tuple[str, str], properties: dict[str, str] | None = None, key: str | None = None):
         def build():
             df = table(name)
-            eid = F.xxhash64(*(key or df.columns))
+            eid = row_number(df) if key is None else F.col(key).cast("long")
             kept = [F.col(c).alias(p) for p, c in (properties or {}).items()]
             return df.select(
                 eid.alias("_eid"), F.lit(kind).alias("_type"), node_id(SPACES[source[0]], F.col(source[1])).alias("_src"),
@@ -89,16 +113,22 @@ def load_graph(spark: SparkSession, folder: str) -> PropertyGraph:
         )
 
     def next_turn():
-        at = F.col("conv_id") * 1000 + F.col("turn")
-        a = table("conversations").select(at.alias("k"))
-        b = a.select((F.col("k") - 1).alias("p"), F.col("k").alias("n")).where(F.pmod("n", F.lit(1000)) > 0)
-        return a.join(b, F.col("k") == F.col("p")).select(
+        df = table("conversations").select(turn_key().alias("k"), "conv_id", "turn")
+        a = df.select("k", "conv_id", (F.col("turn") + 1).alias("turn"))
+        b = df.select(F.col("k").alias("n"), "conv_id", "turn")
+        return a.join(b, ["conv_id", "turn"]).select(
             F.col("k").alias("_eid"), F.lit("NEXT_TURN").alias("_type"), node_id(SPACES["Turn"], F.col("k")).alias("_src"), node_id(SPACES["Turn"], F.col("n")).alias("_dst")
         )
 
     def next_event():
-        following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-        df = table("events").select("event_id", following.alias("n")).where(F.col("n").isNotNull())
+        """Windows hold one user's day; the last event of a day is followed by the first of the user's next day."""
+        df = table("events").select("event_id", "user_id", "ts", F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date")).alias("day"))
+        inside = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+        df = df.select("event_id", "user_id", "day", F.lead("event_id").over(inside).alias("n"))
+        days = table("events").groupBy("user_id", F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date")).alias("day")).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+        days = days.select(F.col("user_id").alias("u"), F.col("day").alias("d"), F.lead("first.event_id").over(Window.partitionBy("user_id").orderBy("day")).alias("after"))
+        df = df.join(days, df["user_id"].eqNullSafe(days["u"]) & (F.col("day") == F.col("d")))
+        df = df.select("event_id", F.coalesce("n", "after").alias("n")).where(F.col("n").isNotNull())
         return df.select(F.col("event_id").alias("_eid"), F.lit("NEXT_EVENT").alias("_type"), node_id(9, F.col("event_id")).alias("_src"), node_id(9, F.col("n")).alias("_dst"))
 
     def refers():
@@ -128,9 +158,9 @@ def load_graph(spark: SparkSession, folder: str) -> PropertyGraph:
         {
             "PLACED": placed, "CONTAINS": edges("CONTAINS", "lineitem", ("Order", "l_orderkey"), ("Part", "l_partkey"), line),
             "SUPPLIED_BY": edges("SUPPLIED_BY", "lineitem", ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), line),
-            "LIVES_IN": edges("LIVES_IN", "customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), key=("c_custkey",)),
-            "BASED_IN": edges("BASED_IN", "supplier", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), key=("s_suppkey",)),
-            "PART_OF": edges("PART_OF", "nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), key=("n_nationkey",)),
+            "LIVES_IN": edges("LIVES_IN", "customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), key="c_custkey"),
+            "BASED_IN": edges("BASED_IN", "supplier", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), key="s_suppkey"),
+            "PART_OF": edges("PART_OF", "nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), key="n_nationkey"),
             "NEXT_TURN": next_turn, "NEXT_EVENT": next_event, "REFERS": refers,
         },
     )
