@@ -15,7 +15,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "flagship", "scan_nodes", "where_and_or", "where_after_take", "of_label_any", "has_rel_out", "has_rel_both", "degree_out", "degree_both", "fn_string_basic",
     "order_multi", "skip_take", "distinct_entity", "sum_money", "window_then_agg", "join_nodes", "union", "hop_out", "hop_chain", "hop_edge_property",
-    "varlen_1_3", "varlen_pred", "paths_depth", "shortest", "all_shortest", "optional", "group_scalar", "group_corr_agg", "group_corr_lists", "group_corr_nested", "search_and", "update_computed",
+    "varlen_1_3", "varlen_pred", "paths_depth", "trail_any_type", "all_shortest", "optional", "group_scalar", "group_corr_agg", "group_corr_lists", "group_corr_nested", "search_and", "update_computed",
+    "create_in_transaction", "create_nodes", "delete_relationships", "delete_cascade",
 )
 
 

@@ -1,4 +1,4 @@
-"""One query for each operator of the graph surface, with equal SQL; where that holds a slice, NAME_whole is over the whole tables."""
+"""One query for each operator of the graph surface over the whole tables, with equal SQL where its recursion ends in time."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConstraintError
 from ..functions import scalar as X
 from ..graph import PropertyGraph
 from ..sources.tables import load_graph
@@ -196,29 +197,18 @@ def project_segment(g):
 
 @query("""SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: len(x) > 4)) AS n_long, list_contains(w, 'the') AS has_the,
 len(list_filter(w, lambda x: len(x) >= 1)) = len(w) AS all_some, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS total,
-coalesce(w[1], '') AS first_word FROM (SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS w FROM documents) t""")
+coalesce(w[1], '') AS first_word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) t""")
 def project_collection(g):
-    return collection(g, lambda text: F.substring(text, 1, 60))
-
-
-def collection(g, of):
     def shape(n):
-        w = F.split(of(n.text), " ")
+        w = F.split(n.text, " ")
         return {
             "doc_id": n.doc_id, "n": X.count_of(w).cast("long"), "n_long": X.count_of(w, lambda x: F.length(x) > 4).cast("long"), "has_the": X.any_of(w, lambda x: x == "the"),
-            "all_some": X.all_of(w, lambda x: F.length(x) >= 1), "total": X.sum_of(X.select_of(w, lambda x: F.length(x))).cast("long"), "first_word": F.get(w, 0),
+            "all_some": X.all_of(w, lambda x: F.length(x) >= 1), "total": X.sum_of(X.select_of(w, lambda x: F.length(x)), "long"), "first_word": F.get(w, 0),
         }
 
     return g.nodes("Document").select(shape).to_df()
 
 
-# of whole texts: the SQL of the query above is given, and reads a prefix
-
-@query(SQL["project_collection"].replace("substr(text, 1, 60)", "text"))
-def project_collection_whole(g):
-    return collection(g, lambda text: text)
-
-
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS n FROM customer")
 def degree_out(g):
     return g.nodes("Customer").select(lambda n: {"c_custkey": n.c_custkey, "n": n.count_relationships("PLACED_URGENT")}).to_df()
@@ -530,75 +520,54 @@ def hop_edge_property(g):
     return q.select(lambda s: {"o": s.start.o_orderkey, "p": s.end.p_partkey, "q": s.relationship.quantity}).to_df()
 
 
-@query(f"WITH {CUST}, {REFERS} SELECT eid, weight FROM refers WHERE src % 3 = 0")
+@query(f"WITH {CUST}, {REFERS} SELECT eid, weight FROM refers")
 def hop_relationships(g):
-    q = g.nodes("Customer").where(lambda n: n.c_custkey % 3 == 0).traverse_relationships("REFERS", "Customer")
+    q = g.nodes("Customer").traverse_relationships("REFERS", "Customer")
     return q.select(lambda r: {"eid": r["_eid"], "weight": r.weight}).to_df()
 
 
 TRAILS = f"""WITH RECURSIVE {CUST}, {REFERS}, {BOTH}, p AS (
-  SELECT {{a}} AS s, {{b}} AS d, 1 AS len, [eid] AS es FROM {{t}} WHERE {{a}} % 20 = 0 {{w}}
+  SELECT {{a}} AS s, {{b}} AS d, 1 AS len, [eid] AS es FROM {{t}} WHERE true {{w}}
   UNION ALL SELECT p.s, r.{{b}}, len + 1, list_append(es, r.eid) FROM p JOIN {{t}} r ON r.{{a}} = p.d
   WHERE len < {{n}} AND NOT list_contains(es, r.eid) {{w}})"""
 
 
 @query(TRAILS.format(a="src", b="dst", t="refers", n=3, w="") + " SELECT s, d FROM p")
 def varlen_1_3(g):
-    q = g.nodes("Customer").where(lambda n: n.c_custkey % 20 == 0).traverse_paths("REFERS", "Customer", 1, 3)
+    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 1, 3)
     return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey}).to_df()
 
 
 @query(TRAILS.format(a="src", b="dst", t="refers", n=4, w="AND weight > 30") + " SELECT d FROM p WHERE len >= 2")
 def varlen_pred(g):
-    q = g.nodes("Customer").where(lambda n: n.c_custkey % 20 == 0).traverse("REFERS", "Customer", 2, 4, where=lambda r: r.weight > 30)
+    q = g.nodes("Customer").traverse("REFERS", "Customer", 2, 4, where=lambda r: r.weight > 30)
     return q.select(lambda n: {"d": n.c_custkey}).to_df()
 
 
 @query(TRAILS.format(a="a", b="b", t="both_ways", n=2, w="") + " SELECT s, d, len FROM p")
 def varlen_both(g):
-    q = g.nodes("Customer").where(lambda n: n.c_custkey % 20 == 0).traverse_paths("REFERS", "Customer", 1, 2, "both")
+    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 1, 2, "both")
     return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
 
 
 @query(TRAILS.format(a="src", b="dst", t="refers", n=5, w="") + " SELECT s, d, len, es FROM p WHERE len >= 3")
 def paths_depth(g):
-    q = g.nodes("Customer").where(lambda n: n.c_custkey % 20 == 0).traverse_paths("REFERS", "Customer", 3, 5)
+    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 3, 5)
     return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth, "es": p.edge_ids}).to_df()
 
 
-# the same from every customer: the SQL of the queries above is given, and starts from a slice
-
-@query(f"WITH {CUST}, {REFERS} SELECT eid, weight FROM refers")
-def hop_relationships_whole(g):
-    q = g.nodes("Customer").traverse_relationships("REFERS", "Customer")
-    return q.select(lambda r: {"eid": r["_eid"], "weight": r.weight}).to_df()
+@query("""SELECT s_suppkey, r_name, 2 AS len FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def trail_any_type(g):
+    q = g.nodes("Supplier").traverse_paths(None, "Region", 2, 2)
+    return q.select(lambda p: {"s_suppkey": p.start.s_suppkey, "r_name": p.end.r_name, "len": p.depth}).to_df()
 
 
-TRAILS_WHOLE = TRAILS.replace("{a} % 20 = 0", "true")
-
-
-@query(TRAILS_WHOLE.format(a="src", b="dst", t="refers", n=3, w="") + " SELECT s, d FROM p")
-def varlen_1_3_whole(g):
-    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 1, 3)
-    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey}).to_df()
-
-
-@query(TRAILS_WHOLE.format(a="src", b="dst", t="refers", n=4, w="AND weight > 30") + " SELECT d FROM p WHERE len >= 2")
-def varlen_pred_whole(g):
-    q = g.nodes("Customer").traverse("REFERS", "Customer", 2, 4, where=lambda r: r.weight > 30)
-    return q.select(lambda n: {"d": n.c_custkey}).to_df()
-
-
-@query(TRAILS_WHOLE.format(a="a", b="b", t="both_ways", n=2, w="") + " SELECT s, d, len FROM p")
-def varlen_both_whole(g):
-    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 1, 2, "both")
-    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
-
-
-@query(TRAILS_WHOLE.format(a="src", b="dst", t="refers", n=5, w="") + " SELECT s, d, len, es FROM p WHERE len >= 3")
-def paths_depth_whole(g):
-    q = g.nodes("Customer").traverse_paths("REFERS", "Customer", 3, 5)
-    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth, "es": p.edge_ids}).to_df()
+@query("""SELECT r_name AS name, kind, count(*) AS n FROM (SELECT n_regionkey AS r, 'PART_OF' AS kind FROM nation
+UNION ALL SELECT n_regionkey, 'LIVES_IN' FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT n_regionkey, 'BASED_IN' FROM supplier JOIN nation ON s_nationkey = n_nationkey) t JOIN region ON r = r_regionkey GROUP BY 1, 2""")
+def paths_any_type_in(g):
+    q = g.nodes("Region").traverse_paths(None, None, 1, 2, "in").select(lambda p: {"name": p.start.r_name, "kind": F.element_at(p.segments, -1)["type"]})
+    return q.to_df().groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS k FROM conversations), e AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON b.k = a.k + 1 AND b.k % 1000 > 0),
@@ -609,52 +578,26 @@ def paths_turns(g):
     return q.to_df().groupBy("conv_id", "turn").agg(F.max("d").alias("depth"))
 
 
-SHORTEST = f"""WITH RECURSIVE {CUST}, {REFERS}, p AS (
-  SELECT src AS s, dst AS d, 1 AS len, [src, dst] AS ns FROM refers WHERE src % 50 = 7
-  UNION SELECT p.s, r.dst, len + 1, list_append(ns, r.dst) FROM p JOIN refers r ON r.src = p.d
-  WHERE len < 6 AND NOT list_contains(ns, r.dst))"""
-
-
-@query(SHORTEST + " SELECT s, d, min(len) AS len FROM p WHERE s <> d GROUP BY s, d")
-def shortest(g):
-    q = g.nodes("Customer").where(lambda n: n.c_custkey % 50 == 7).shortest_path("REFERS", "Customer", max_depth=6)
-    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
-
-
-@query(SHORTEST + " SELECT s, d, min(len) AS len FROM p WHERE s <> d AND d % 3 = 0 GROUP BY s, d")
-def shortest_predicate(g):
-    q = g.nodes("Customer").where(lambda n: n.c_custkey % 50 == 7).shortest_path("REFERS", "Customer", lambda n: n.c_custkey % 3 == 0, max_depth=6)
-    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
-
-
-@query(f"""WITH RECURSIVE {CUST}, {REFERS}, p AS (
-  SELECT src AS s, dst AS d, 1 AS len, [src, dst] AS ns, [eid] AS es FROM refers WHERE src % 50 = 10 AND src <> dst
-  UNION ALL SELECT p.s, r.dst, len + 1, list_append(ns, r.dst), list_append(es, r.eid) FROM p JOIN refers r ON r.src = p.d
-  WHERE len < 5 AND NOT list_contains(ns, r.dst)), m AS (SELECT s, d, min(len) AS len FROM p GROUP BY s, d)
-SELECT s, d, len, es FROM p JOIN m USING (s, d, len)""")
-def all_shortest(g):
-    q = g.nodes("Customer").where(lambda n: n.c_custkey % 50 == 10).all_shortest_paths("REFERS", "Customer", max_depth=5)
-    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth, "es": p.edge_ids}).to_df()
-
-
-# the same from every customer to any depth; no SQL, as its recursion lists all simple paths. A test holds them against breadth-first search
+# from every customer to any depth; no SQL for the first two, as its recursion lists all simple paths. A test holds them against breadth-first search
 
 @query()
-def shortest_whole(g):
+def shortest(g):
     q = g.nodes("Customer").shortest_path("REFERS", "Customer")
     return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
 
 
 @query()
-def shortest_predicate_whole(g):
-    q = g.nodes("Customer").shortest_path("REFERS", "Customer", lambda n: n.c_custkey % 3 == 0)
+def shortest_predicate(g):
+    q = g.nodes("Customer").shortest_path("REFERS", "Customer", lambda n: n.c_mktsegment == "BUILDING")
     return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth}).to_df()
 
 
-@query()
-def all_shortest_whole(g):
-    q = g.nodes("Customer").all_shortest_paths("REFERS", "Customer")
-    return q.select(lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "len": p.depth, "es": p.edge_ids}).to_df()
+# all of them over REFERS are exponentially many; these are as many as there are line items
+@query("""SELECT o_orderkey AS s, r_name AS d, 3 AS len, CAST(s_suppkey AS BIGINT) AS based_in FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def all_shortest(g):
+    q = g.nodes("Order").all_shortest_paths(None, "Region")
+    return q.select(lambda p: {"s": p.start.o_orderkey, "d": p.end.r_name, "len": p.depth, "based_in": F.get(p.edge_ids, 1)}).to_df()
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON o_custkey = c_custkey")
@@ -750,28 +693,65 @@ def update_computed(g):
     return store.graph.nodes("Customer").select(lambda n: {"c_custkey": n.c_custkey, "c_acctbal": n.c_acctbal, "c_mktsegment": n.c_mktsegment}).to_df()
 
 
-def _small(g: PropertyGraph) -> PropertyGraph:
-    """Nations, regions and suppliers with their relationships, for mutations that write every table."""
-    return PropertyGraph(g.spark, g.registry, {k: g.node_tables[k] for k in ("Nation", "Region", "Supplier")}, {k: g.edge_tables[k] for k in ("PART_OF", "BASED_IN")})
+#: All relationships by type, each with a test of whether it stays.
+KINDS = """SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'PLACED_URGENT' ELSE 'PLACED' END AS kind, {placed} AS keep FROM orders
+UNION ALL SELECT 'CONTAINS', {contains} FROM lineitem UNION ALL SELECT 'SUPPLIED_BY', true FROM lineitem UNION ALL SELECT 'LIVES_IN', {lives} FROM customer
+UNION ALL SELECT 'BASED_IN', {based} FROM supplier UNION ALL SELECT 'PART_OF', {part} FROM nation
+UNION ALL SELECT 'NEXT_TURN', true FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)
+UNION ALL SELECT 'NEXT_EVENT', true FROM (SELECT lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events) WHERE x IS NOT NULL
+UNION ALL SELECT 'REFERS', true FROM customer UNION ALL SELECT 'REFERS', true FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'REFERS', true FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'REFERS', true FROM customer WHERE c_custkey % 50 = 0"""
 
 
-@query("SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation WHERE n_regionkey <> 1")
-def delete_cascade(g):
-    store = GraphStore(_small(g))
-    store.delete(lambda g: g.nodes("Nation").where(lambda n: n.n_regionkey == 1), cascade=True)
-    return store.graph.nodes("Nation").select(lambda n: {"n_name": n.n_name, "n": n.count_relationships("BASED_IN", "in")}).to_df()
+def kinds_sql(placed="true", contains="true", lives="true", based="true", part="true") -> str:
+    rows = KINDS.format(placed=placed, contains=contains, lives=lives, based=based, part=part)
+    return f"SELECT kind, count(*) AS n FROM ({rows}) t WHERE keep GROUP BY kind"
 
 
-@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END AS n FROM supplier")
+def kinds(g: PropertyGraph) -> DataFrame:
+    return g.dynamic_relationships().group_by(lambda r: r.type).select(lambda x: {"kind": x.key, "n": x.count()}).to_df()
+
+
+@query(kinds_sql())
+def distinct_relationships(g):
+    q = g.dynamic_relationships().distinct().select(lambda r: {"kind": r.type})
+    return q.to_df().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'CONTAINS' AS kind, count(*) AS n FROM lineitem UNION ALL SELECT 'LIVES_IN', count(*) FROM customer")
+def union_relationships(g):
+    q = g.dynamic_relationships()
+    out = q.where(lambda r: r.type.isin("CONTAINS", "LIVES_IN")).union(q.where(lambda r: r.type == "LIVES_IN"))
+    return out.to_df().groupBy(F.col("_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(kinds_sql(contains="l_quantity <= 45"))
 def delete_relationships(g):
-    store = GraphStore(_small(g))
+    store = GraphStore(g)
+    store.delete(lambda g: g.relationships("CONTAINS").where(lambda r: r.quantity > 45))
+    return kinds(store.graph)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END AS n FROM supplier")
+def delete_relationships_after_hop(g):
+    store = GraphStore(g)
     store.delete(lambda g: g.nodes("Supplier").where(lambda n: n.s_acctbal < 0).traverse_relationships("BASED_IN", "Nation"))
     return store.graph.nodes("Supplier").select(lambda n: {"s_suppkey": n.s_suppkey, "n": n.count_relationships("BASED_IN").cast("int")}).to_df()
 
 
+IN_REGION = "{} NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"
+
+
+@query(kinds_sql(lives=IN_REGION.format("c_nationkey"), based=IN_REGION.format("s_nationkey"), part="n_regionkey <> 1") + " UNION ALL SELECT 'nations', count(*) FROM nation WHERE n_regionkey <> 1")
+def delete_cascade(g):
+    store = GraphStore(g)
+    store.delete(lambda g: g.nodes("Nation").where(lambda n: n.n_regionkey == 1), cascade=True)
+    return kinds(store.graph).unionByName(store.graph.nodes("Nation").count_df(name="n").select(F.lit("nations").alias("kind"), "n"))
+
+
 @query("SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region UNION ALL SELECT 'ATLANTIS', 1")
 def create_in_transaction(g):
-    store = GraphStore(_small(g))
+    store = GraphStore(g)
     with store.begin() as tx:
         tx.create(("Nation", {"n_nationkey": 99, "n_name": "NEW", "n_regionkey": 9}), ("PART_OF", {}), ("Region", {"r_regionkey": 9, "r_name": "ATLANTIS"}))
         tx.commit()
@@ -780,6 +760,177 @@ def create_in_transaction(g):
     return store.graph.nodes("Region").select(lambda n: {"r_name": n.r_name, "n": n.count_relationships("PART_OF", "in")}).to_df()
 
 
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT 1000000000, 'new' UNION ALL SELECT 1000000001 + s_suppkey, s_name FROM supplier WHERE s_acctbal > 9000")
+def create_nodes(g):
+    store = GraphStore(g)
+    store.create_node("Customer", {"c_custkey": 1000000000, "c_name": "new"})
+    more = g.node_tables["Supplier"].where("s_acctbal > 9000").select((F.col("s_suppkey") + 1000000001).alias("c_custkey"), F.col("s_name").alias("c_name"))
+    store.create_nodes("Customer", more)
+    return store.graph.nodes("Customer").select(lambda n: {"c_custkey": n.c_custkey, "c_name": n.c_name}).to_df()
+
+
+@query("SELECT 'NATION_1' AS a, 'NATION_2' AS b UNION ALL SELECT 'NATION_1', 'FAR' UNION ALL SELECT 'FAR', 'NATION_2'")
+def create_relationships(g):
+    store = GraphStore(g)
+    one = lambda name: lambda g: g.nodes("Nation").where(lambda n: n.n_name == name)
+    store.create_relationship(one("NATION_1"), ("BORDERS", {}), one("NATION_2"))
+    store.create_relationship(one("NATION_1"), ("BORDERS", {}), ("Nation", {"n_nationkey": 99, "n_name": "FAR"}))
+    store.create_relationship(one("NATION_2"), ("BORDERS", {}), one("FAR"), direction="in")
+    q = store.graph.nodes("Nation").path_segments("BORDERS", "Nation")
+    return q.select(lambda s: {"a": s.start.n_name, "b": s.end.n_name}).to_df()
+
+
+@query(f"WITH {CUST}, {REFERS} SELECT k AS c_custkey, (SELECT count(*) FROM refers WHERE src = k) + CASE WHEN k = 7 THEN 1 ELSE 0 END AS n FROM cust")
+def create_self_loop(g):
+    store = GraphStore(g)
+    store.create_self_loop(lambda g: g.nodes("Customer").where(lambda n: n.c_custkey == 7), ("REFERS", {"weight": 1}))
+    return store.graph.nodes("Customer").select(lambda n: {"c_custkey": n.c_custkey, "n": n.count_relationships("REFERS")}).to_df()
+
+
+@query("""SELECT * FROM (VALUES ('duplicate key', 'c_custkey is not unique'), ('no name', 'property c_name is required'), ('renamed to null', 'property c_name is required'),
+('same keys', 'c_custkey is not unique'), ('with relationships', 'nodes with relationships are only deleted by cascade')) t(given, error)""")
+def constraints(g):
+    store, out = GraphStore(g), []
+    vip = lambda g: g.nodes("VipCustomer")
+    for given, command in (
+        ("duplicate key", lambda: store.create_node("Customer", {"c_custkey": 1, "c_name": "again"})), ("no name", lambda: store.create_node("Customer", {"c_custkey": -1})),
+        ("renamed to null", lambda: store.update(vip, {"c_name": None})), ("same keys", lambda: store.update(vip, {"c_custkey": 5})), ("with relationships", lambda: store.delete(vip)),
+    ):
+        try:
+            command()
+            out.append((given, "none"))
+        except ConstraintError as e:
+            out.append((given, str(e)))
+    return g.spark.createDataFrame(out, "given string, error string")
+
+
+# complex properties
+
+def with_home(g: PropertyGraph) -> PropertyGraph:
+    """Customers with a property that is a structure, and null for those in debt."""
+    home = F.struct(F.struct(F.col("c_nationkey").alias("code"), F.nullif(F.col("c_nationkey"), F.lit(3)).alias("seen")).alias("nation"), F.col("c_mktsegment").alias("segment"))
+    table = g.node_tables["Customer"]
+    return g.replaced(nodes={"Customer": table.withColumn("home", F.when(F.col("c_acctbal") >= 0, home))})
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def complex_is_null(g):
+    return with_home(g).nodes("Customer").where(lambda n: n.home.isNull()).select(lambda n: {"c_custkey": n.c_custkey}).to_df()
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_nationkey END AS code FROM customer WHERE (c_acctbal >= 0 AND c_nationkey > 20) OR c_mktsegment = 'BUILDING'")
+def complex_nested(g):
+    q = with_home(g).nodes("Customer").where(lambda n: (n.home["nation"]["code"] > 20) | (n.c_mktsegment == "BUILDING"))
+    return q.select(lambda n: {"c_custkey": n.c_custkey, "code": n.home["nation"]["code"]}).to_df()
+
+
+@query("SELECT c_custkey, c_acctbal < 0 OR c_nationkey = 3 AS unseen, CASE WHEN c_acctbal >= 0 AND c_nationkey <> 3 THEN c_nationkey + 1 END AS next FROM customer")
+def null_propagation(g):
+    q = with_home(g).nodes("Customer")
+    return q.select(lambda n: {"c_custkey": n.c_custkey, "unseen": n.home["nation"]["seen"].isNull(), "next": n.home["nation"]["seen"] + 1}).to_df()
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 7 WHEN c_acctbal >= 0 THEN c_nationkey END AS code,
+CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'B' WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment FROM customer""")
+def update_complex(g):
+    store = GraphStore(with_home(g))
+    of = lambda segment: lambda g: g.nodes("Customer").where(lambda n: n.c_mktsegment == segment)
+    store.update(of("BUILDING"), {"home": {"nation": {"code": 7, "seen": None}, "segment": "B"}})
+    store.update(of("MACHINERY"), {"home": None})
+    return store.graph.nodes("Customer").select(lambda n: {"c_custkey": n.c_custkey, "code": n.home["nation"]["code"], "segment": n.home["segment"]}).to_df()
+
+
+# more of the surface
+
+@query("SELECT o_orderkey AS eid, 'PLACED_URGENT' AS kind FROM orders WHERE o_orderpriority = '1-URGENT'")
+def search_relationships(g):
+    return g.search_relationships("urgent 1", "PLACED").select(lambda r: {"eid": r["_eid"], "kind": r.type}).to_df()
+
+
+@query("SELECT 'PLACED_URGENT' AS kind, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'")
+def search_any_relationship(g):
+    return g.search_relationships("Urgent").to_df().groupBy(F.col("_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN c_acctbal > 8000 THEN 'VipCustomer' ELSE 'Customer' END AS label, count(*) AS n FROM customer WHERE c_nationkey < 10 GROUP BY 1")
+def widen_base(g):
+    q = g.nodes("Customer").where(lambda n: n.c_nationkey < 10).group_by(lambda n: F.element_at(n.labels, -1))
+    return q.select(lambda x: {"label": x.key, "n": x.count()}).to_df()
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def anti_degree(g):
+    q = g.nodes("Customer").select(lambda n: {"c_custkey": n.c_custkey, "n": n.count_relationships("PLACED_URGENT")}).where(lambda r: r.n == 0)
+    return q.select(lambda r: {"c_custkey": r.c_custkey}).to_df()
+
+
+@query("SELECT o_orderstatus AS k, count(*) AS n, max(o_totalprice) AS hi FROM orders GROUP BY 1")
+def group_result_selector(g):
+    return g.nodes("Order").group_by(lambda n: n.o_orderstatus, lambda k, x: {"k": k, "n": x.count(), "hi": x.max(lambda n: n.o_totalprice)}).to_df()
+
+
+@query("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer ORDER BY twice DESC, c_custkey LIMIT 25")
+def order_after_select(g):
+    q = g.nodes("Customer").select(lambda n: {"c_custkey": n.c_custkey, "twice": n.c_acctbal * 2})
+    return q.order_by_descending(lambda r: r.twice).then_by(lambda r: r.c_custkey).take(25).to_df()
+
+
+@query("SELECT event_id, ts < now() AS past, CAST(ts AS DATE) <= current_date AS by_today, year(current_date) >= 2024 AS late FROM events")
+def fn_now(g):
+    return g.nodes("Event").select(lambda n: {"event_id": n.event_id, "past": n.ts < X.now(), "by_today": X.date(n.ts) <= X.today(), "late": X.year(X.today()) >= 2024}).to_df()
+
+
+@query("""SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS mo, CAST(day(ts) AS INTEGER) AS d, CAST(dayofweek(ts) AS INTEGER) AS dw, CAST(dayofyear(ts) AS INTEGER) AS dy,
+strftime(CAST(ts AS DATE) + INTERVAL 2 MONTH, '%Y-%m-%d') AS later FROM events""")
+def fn_date_only(g):
+    def shape(n):
+        d = X.date(n.ts)
+        return {"event_id": n.event_id, "y": X.year(d), "mo": X.month(d), "d": X.day(d), "dw": X.day_of_week(d), "dy": X.day_of_year(d), "later": F.date_format(X.add_months(d, 2), "yyyy-MM-dd")}
+
+    return g.nodes("Event").select(shape).to_df()
+
+
+@query("""SELECT event_id, CAST(hour(ts) AS INTEGER) AS h, CAST(minute(ts) AS INTEGER) AS mi, CAST(floor(second(ts)) AS INTEGER) AS s, CAST(millisecond(ts) % 1000 AS INTEGER) AS ms,
+CAST(epoch_us(ts) % 86400000000 AS BIGINT) AS day_us FROM events""")
+def fn_time_only(g):
+    def shape(n):
+        t = X.time_of_day(n.ts)
+        return {"event_id": n.event_id, "h": X.time_part(t, "hours"), "mi": X.time_part(t, "minutes"), "s": X.time_part(t, "seconds"), "ms": X.time_part(t, "milliseconds"), "day_us": t}
+
+    return g.nodes("Event").select(shape).to_df()
+
+
+@query("SELECT event_id, strftime(ts - INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS utc, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS loc FROM events")
+def fn_time_zone(g):
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return g.nodes("Event").select(lambda n: {"event_id": n.event_id, "utc": show(X.to_universal_time(n.ts, "+03:00")), "loc": show(X.to_local_time(n.ts, "+03:00"))}).to_df()
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS is_f, o_orderstatus <> 'O' AS not_o, o_orderstatus IN ('O', 'P') AS one_of FROM orders")
+def fn_enum(g):
+    return g.nodes("Order").select(lambda n: {"o_orderkey": n.o_orderkey, "is_f": n.o_orderstatus == "F", "not_o": n.o_orderstatus != "O", "one_of": n.o_orderstatus.isin("O", "P")}).to_df()
+
+
+@query("""SELECT n_name AS name, true AS has, false AS has_not, 'n_name,n_nationkey,n_regionkey' AS props, false AS region FROM nation
+UNION ALL SELECT r_name, false, false, 'r_name,r_regionkey', true FROM region""")
+def fn_dynamic(g):
+    q = g.dynamic_nodes().where(lambda n: X.has_any_label(n.labels, "Nation", "Region"))
+    return q.select(lambda n: {
+        "name": F.coalesce(X.get_property(n.props, "n_name"), X.get_property(n.props, "r_name")), "has": X.has_property(n.props, "n_name"), "has_not": X.has_property(n.props, "p_name"),
+        "props": F.array_join(X.property_names(n.props), ","), "region": X.has_all_labels(n.labels, "Region"),
+    }).to_df()
+
+
+@query("""SELECT c_custkey, len(x) AS n, CAST(list_sum(x) AS BIGINT) AS total, list_avg(x) AS mean, CAST(list_min(x) AS BIGINT) AS lo, CAST(list_max(x) AS BIGINT) AS hi
+FROM (SELECT c_custkey, [c_custkey + 9007199254740992, c_nationkey, 4] AS x FROM customer) t""")
+def fn_array_aggregates(g):
+    def shape(n):
+        x = F.array(n.c_custkey + 9007199254740992, n.c_nationkey.cast("long"), F.lit(4).cast("long"))
+        return {"c_custkey": n.c_custkey, "n": X.count_of(x).cast("long"), "total": X.sum_of(x, "long"), "mean": X.average_of(x), "lo": X.min_of(x), "hi": X.max_of(x)}
+
+    return g.nodes("Customer").select(shape).to_df()
+
+
 FLAGSHIP = "flagship"
 
 
