@@ -280,7 +280,8 @@ def _left(held: DataFrame, leaders: DataFrame | None, links: DataFrame) -> DataF
         held = held.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
     if links.take(1):
         names = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
-        held = held.join(names, "comp", "left").withColumn("comp", F.coalesce("now", "comp"))
+        # written, as what follows reads it twice
+        held = save(held.join(names, "comp", "left").select("bucket", "rep", F.coalesce("now", "comp").alias("comp")), "named")
     return _several(held.select("bucket", "rep", "comp"), "comp")
 
 

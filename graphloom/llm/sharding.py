@@ -114,7 +114,7 @@ def settle(linked: DataFrame, quotas: list[int]):
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` and ``group_size``, how many texts are equal."""
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard``, and ``group_size`` and ``text_hash`` of the equal texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
@@ -152,11 +152,22 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     for t in reversed(range(shards)):
         fill = F.when(F.col("at") < ends[t], F.lit(t)).otherwise(fill)
     final = placed.where(stays).select("rid", "shard").unionByName(pool.select("rid", fill.cast("int").alias("shard")))
-    out = base.select("rid", "doc_id", "size", "text_crc32", "group_size").join(final, "rid")
+    out = base.select("rid", "doc_id", "size", "text_crc32", "group_size", "g").join(final, "rid")
     out = _numbered(save(out, "sharded"), ["shard"], total, "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "group_size",
+        F.lit(None).cast("int").alias("grown_shard"), "group_size", F.col("g").alias("text_hash"),
+    )
+
+
+def quality(placed: DataFrame) -> DataFrame:
+    """One row: ``groups, whole_groups, linked, cut``, groups of equal texts and their documents; cut ones are not where most of their group is."""
+    cells = placed.where(F.col("group_size") > 1).groupBy("text_hash", "size", "text_crc32", "shard").agg(F.count(F.lit(1)).alias("c"))
+    groups = cells.groupBy("text_hash", "size", "text_crc32").agg(F.sum("c").alias("n"), F.max("c").alias("most"))
+    zero = F.lit(0).cast("long")
+    return groups.agg(
+        F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") == F.col("most")).alias("whole_groups"),
+        F.coalesce(F.sum("n"), zero).alias("linked"), F.coalesce(F.sum(F.col("n") - F.col("most")), zero).alias("cut"),
     )
 
 

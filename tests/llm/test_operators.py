@@ -347,6 +347,36 @@ def test_sharding_plan_leaves_out_only_what_no_shard_holds():
         assert all(put[k] == m or (put[k] < m and k[1] > max(room)) for k, m in groups.items())
 
 
+def least_cut(sizes, quotas):
+    """Of all ways to fill the shards exactly, the least number of documents away from most of their group."""
+    left = {tuple(quotas): 0}
+    for n in sizes:
+        after = {}
+        for room, cost in left.items():
+            for part in itertools.product(*(range(min(n, r) + 1) for r in room)):
+                if sum(part) == n:
+                    key = tuple(r - x for r, x in zip(room, part, strict=True))
+                    after[key] = min(after.get(key, 10**9), cost + n - max(part))
+        left = after
+    return left[(0,) * len(quotas)]
+
+
+@pytest.mark.parametrize("sizes", [[3, 2, 2, 1, 1, 1], [4, 4, 3, 1], [5, 5, 2], [6, 2, 2, 1, 1], [7, 3, 1, 1], [2, 2, 2, 2, 2, 2]])
+def test_sharding_cuts_as_little_as_brute_force(spark, sizes):
+    rows = [(i, f"text {g}", "en", "s", 1) for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    placed = sharding.shard_documents(frame(spark, rows), shards=3)
+    got = sharding.quality(placed).first()
+    total = len(rows)
+    at = {}
+    for r in placed.collect():
+        at.setdefault(r["text_hash"], Counter())[r["shard"]] += 1
+    several = [c for c in at.values() if c.total() > 1]
+    assert got["cut"] == sum(c.total() - max(c.values()) for c in several) and got["linked"] == sum(c.total() for c in several)
+    assert got["groups"] == len(several) and got["whole_groups"] == sum(len(c) == 1 for c in several)
+    least = least_cut(sizes, [total // 3 + (t < total % 3) for t in range(3)])
+    assert least <= got["cut"] <= least + 1
+
+
 # 5
 
 def edit_anywhere(p, t):
