@@ -274,14 +274,29 @@ def _meet(ranked: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame, Da
     return leaders, save(compared, "compared")
 
 
-def _left(held: DataFrame, leaders: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``held`` without its leaders, by the components that the links between components make; buckets of several of them."""
+def _named(members: DataFrame, names: DataFrame) -> DataFrame:
+    """``rep, comp`` and other columns with the component's name as of ``names``."""
+    names = names.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+    return members.join(names, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+
+
+def _left(held: DataFrame, leaders: DataFrame | None, links: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
+    """``held`` without its leaders, and ``dealt``, by the components that the links between components make; buckets of several of them.
+
+    A member takes its component's name once, with a list of its buckets, not in each of them.
+    """
     if leaders is not None:
         held = held.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
-    if links.take(1):
-        names = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
-        # written, as what follows reads it twice
-        held = save(held.join(names, "comp", "left").select("bucket", "rep", F.coalesce("now", "comp").alias("comp")), "named")
+    names = components(links) if links.take(1) else None
+    if names is not None:
+        members = held.groupBy("rep", "comp").agg(F.collect_list("bucket").alias("buckets"))
+        held = _named(members, names).select(F.explode("buckets").alias("bucket"), "rep", "comp")
+    if dealt is not None:
+        dealt = dealt.select("rep", F.col("rep").alias("comp"), "keys")
+        dealt = dealt if names is None else _named(dealt, names)
+        held = held.select("bucket", "rep", "comp").unionByName(dealt.select(F.explode("keys").alias("bucket"), "rep", "comp"))
+    if names is not None:  # written, as what follows reads it twice
+        held = save(held, "named")
     return _several(held.select("bucket", "rep", "comp"), "comp")
 
 
@@ -406,8 +421,7 @@ def near_duplicates(
         held, dealt = _crowded(held, sets, leaders, compared, degree, similarity, crowd)
         if dealt.take(1):
             pairs = save(pairs.union(dealt.where(F.col("sim") >= similarity).select("pivot", "rep")), "links")
-            dealt = save(dealt.select(F.explode("keys").alias("bucket"), "rep"), "dealt")
-            held = save(_left(held.select("bucket", "rep").unionByName(dealt).withColumn("comp", F.col("rep")), None, pairs), "buckets")
+            held = save(_left(held.withColumn("comp", F.col("rep")), None, pairs, dealt), "buckets")
 
     # 5. rounds of leaders
     while held.take(1):

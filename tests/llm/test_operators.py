@@ -158,6 +158,18 @@ def test_near_dedup_deal_keeps_every_similar_pair(spark, similarity):
     assert want and want <= met and len(met) < 90 * 89 / 2
 
 
+def test_near_dedup_names_a_member_once_not_in_each_bucket(spark, monkeypatch):
+    """As many rows meet the components' names as there are members, however many buckets they are in."""
+    saved, save = [], near_dedup.save
+    monkeypatch.setattr(near_dedup, "save", lambda df, label: (saved.append((label, df)), save(df, label))[1])
+    held = spark.createDataFrame([(b, r, r) for b in range(50) for r in (1, 2, 3)], "bucket long, rep long, comp long")
+    links = spark.createDataFrame([(1, 2)], "a long, b long")
+    left = near_dedup._left(held, None, links)
+    assert {tuple(r) for r in left.collect()} == {(b, r, 1 if r < 3 else 3) for b in range(50) for r in (1, 2, 3)}
+    plan = next(df for label, df in saved if label == "named")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Generate explode") < plan.find("LeftOuter")
+
+
 def test_near_dedup_weighs_occurrences(spark):
     rng = random.Random(21)
     line = prose(rng, 30)
