@@ -6,7 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.graph import PropertyGraph
+from graphloom.operators import traverse
 from graphloom.plans import graph_queries
+from graphloom.schema import EdgeType, NodeType, Registry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
@@ -80,3 +83,36 @@ def test_shortest_paths_of_any_depth_from_every_customer(spark):
             assert a == at
             at = b
         assert at == r["d"]
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """How many rows each lineage cut of a traversal writes."""
+    rows, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: (out := cut(df), rows.append(out.count()))[0])
+    return rows
+
+
+def test_paths_whose_types_end_write_no_level_of_all_sources(spark, written):
+    got = graph_queries.QUERIES["all_shortest"](spark, FOLDER)
+    assert max(written, default=0) < 100
+    assert rows_of(got.collect()) == by_sql("all_shortest")
+
+
+@pytest.mark.parametrize("target_first", [False, True])
+def test_paths_whose_types_end_keep_only_the_shortest(spark, target_first):
+    """A type that stands in two levels: what the first has found, the second does not find again."""
+    reg = Registry().add(NodeType("A"), NodeType("B"), NodeType("C"), EdgeType("AB", "A", "B"), EdgeType("AC", "A", "C"), EdgeType("BC", "B", "C"))
+    nodes = {n: spark.createDataFrame([(i, [n]) for i in ids], "_nid long, _labels array<string>") for n, ids in (("A", [1, 2]), ("B", [11]), ("C", [21, 22, 23]))}
+    edges = {"AB": [(1, 1, 11), (2, 2, 11)], "AC": [(1, 1, 21), (2, 1, 21)], "BC": [(1, 11, 21), (2, 11, 22), (3, 11, 99)]}
+    edges = {n: spark.createDataFrame([(e, n, a, b) for e, a, b in rows], "_eid long, _type string, _src long, _dst long") for n, rows in edges.items()}
+    people = PropertyGraph(spark, reg, nodes, edges).nodes("A")
+    keep = (lambda n: n["_nid"] == 21) if target_first else None
+    shape = lambda p: {"s": p.start["_nid"], "d": p.end["_nid"], "n": p.depth, "es": p.edge_ids, "g": p.segments}
+    want = {(1, 21, 1, (1,)), (1, 21, 1, (2,)), (1, 22, 2, (1, 2)), (2, 21, 2, (2, 1)), (2, 22, 2, (2, 2))}
+    want = {x for x in want if not target_first or x[1] == 21}
+    got = people.all_shortest_paths(None, "C", keep).select(shape).to_df().collect()
+    assert sorted((r["s"], r["d"], r["n"], tuple(r["es"])) for r in got) == sorted(want)
+    assert all((r["g"][0]["start"], r["g"][-1]["end"]) == (r["s"], r["d"]) for r in got)
+    got = people.shortest_path(None, "C", keep).select(shape).to_df().collect()
+    assert sorted((r["s"], r["d"], r["n"], tuple(r["es"])) for r in got) == sorted(want - {(1, 21, 1, (2,))})
