@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.operators import traverse
+from graphloom.operators import traverse, walks
 from graphloom.plans import graph_queries
 from graphloom.schema import EdgeType, NodeType, Registry
 
@@ -116,3 +116,20 @@ def test_paths_whose_types_end_keep_only_the_shortest(spark, target_first):
     assert all((r["g"][0]["start"], r["g"][-1]["end"]) == (r["s"], r["d"]) for r in got)
     got = people.shortest_path(None, "C", keep).select(shape).to_df().collect()
     assert sorted((r["s"], r["d"], r["n"], tuple(r["es"])) for r in got) == sorted(want - {(1, 21, 1, (2,))})
+
+
+def test_shortest_paths_write_no_level(spark, written):
+    assert graph_queries.QUERIES["shortest"](spark, FOLDER).count() > 1000
+    assert len(written) == 1  # the relationships
+
+
+@pytest.mark.parametrize("direction", ["out", "both"])
+@pytest.mark.parametrize("keep", [None, lambda n: n.c_custkey < 10], ids=["all", "some"])
+def test_shortest_paths_of_workers_are_those_of_joins(spark, monkeypatch, keep, direction):
+    monkeypatch.setattr(walks, "CELLS", 1000)  # several rounds of sources
+    people = graph_queries.load_graph(spark, FOLDER).nodes("Customer").where(lambda n: n.c_custkey < 40)
+    shape = lambda p: {"s": p.start.c_custkey, "d": p.end.c_custkey, "n": p.depth, "es": p.edge_ids, "g": p.segments}
+    run = lambda: rows_of(people.shortest_path("REFERS", "Customer", keep, direction, max_depth=4).select(shape).to_df().collect())
+    got = run()
+    monkeypatch.setattr(walks, "HELD", -1)
+    assert got == run() != []
