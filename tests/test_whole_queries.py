@@ -123,6 +123,14 @@ def test_shortest_paths_write_no_level(spark, written):
     assert len(written) == 1  # the relationships
 
 
+def test_shortest_paths_to_some_endpoints_write_these_and_the_relationships_only(spark, written):
+    people = graph_queries.load_graph(spark, FOLDER).nodes("Customer")
+    segment = {r["c_custkey"]: r["c_mktsegment"] for r in people.to_df().collect()}
+    got = graph_queries.QUERIES["shortest_predicate"](spark, FOLDER)
+    assert len(written) == 2
+    assert {segment[r["d"]] for r in got.collect()} == {"BUILDING"}
+
+
 @pytest.mark.parametrize("direction", ["out", "both"])
 @pytest.mark.parametrize("keep", [None, lambda n: n.c_custkey < 10], ids=["all", "some"])
 def test_shortest_paths_of_workers_are_those_of_joins(spark, monkeypatch, keep, direction):
