@@ -141,3 +141,10 @@ def test_shortest_paths_of_workers_are_those_of_joins(spark, monkeypatch, keep,
     got = run()
     monkeypatch.setattr(walks, "HELD", -1)
     assert got == run() != []
+
+
+def test_a_join_by_few_keys_is_shared_by_all_tasks(spark):
+    got = graph_queries.QUERIES["join_rel_payload"](spark, FOLDER)
+    tasks = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(tasks) > spark.sparkContext.defaultParallelism and max(tasks) < sum(tasks) / 4
+    assert rows_of(got.collect()) == by_sql("join_rel_payload")
