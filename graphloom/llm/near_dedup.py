@@ -257,15 +257,23 @@ def _several(held: DataFrame, by: str = "rep") -> DataFrame:
     return held.join(ends, "bucket", "left_semi").distinct()
 
 
-def _meet(ranked: DataFrame, sets: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def _may_meet(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two members that hold a bucket's element, each ``at`` its place, can be similar and meet by it; see ``_deal``. Null: not dealt."""
+    bound = (a["size"] + b["size"]) * ((1 - similarity) / (1 + similarity))
+    needed = F.greatest(F.lit(1), F.ceil((a["distance"] + b["distance"] - bound) / 2 - 1e-9))
+    return a.isNull() | b.isNull() | ((a["place"] <= a["distance"] - needed + 1) & (b["place"] <= b["distance"] - needed + 1))
+
+
+def _meet(ranked: DataFrame, sets: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Each bucket's leaders, ``bucket, lead``, and their similarity to its members of other components, ``lead, rep, led, comp, sim``.
 
-    Leaders are first by ``place``. Only one of two leaders is compared with the other.
+    Leaders are first by ``place``. Only one of two leaders is compared with the other, and of dealt members those that can be similar.
     """
+    at = [F.col("at")] if "at" in ranked.columns else []
     leaders = ranked.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("place"))).where(F.col("r") <= width)
-    leaders = save(leaders.select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"), F.col("place").alias("ahead")), "leaders")
-    lists = leaders.groupBy("bucket").agg(F.collect_list(F.struct("lead", "led", "ahead")).alias("leads"))
-    ahead = F.filter("leads", lambda x: (x["led"] != F.col("comp")) & (x["ahead"] < F.col("place")))
+    leaders = save(leaders.select("bucket", F.col("rep").alias("lead"), F.col("comp").alias("led"), F.col("place").alias("ahead"), *at), "leaders")
+    lists = leaders.groupBy("bucket").agg(F.collect_list(F.struct("lead", "led", "ahead", *at)).alias("leads"))
+    ahead = F.filter("leads", lambda x: (x["led"] != F.col("comp")) & (x["ahead"] < F.col("place")) & (_may_meet(x["at"], F.col("at"), similarity) if at else F.lit(True)))
     mine = ranked.join(lists, "bucket").select("rep", "comp", F.transform(ahead, lambda x: F.struct(x["lead"].alias("lead"), x["led"].alias("led"))).alias("leads"))
     mine = mine.where(F.size("leads") > 0).groupBy("rep", "comp").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
     met = mine.select("rep", "comp", F.explode("leads").alias("l")).select("rep", "comp", "l.*")
@@ -284,20 +292,25 @@ def _left(held: DataFrame, leaders: DataFrame | None, links: DataFrame, dealt: D
     """``held`` without its leaders, and ``dealt``, by the components that the links between components make; buckets of several of them.
 
     A member takes its component's name once, with a list of its buckets, not in each of them.
+    Once members have been dealt, ``at`` is what ``_may_meet`` reads.
     """
+    at = [F.col("at")] if "at" in held.columns else []
+    held = held.select("bucket", "rep", "comp", *at)
     if leaders is not None:
         held = held.join(leaders.select("bucket", F.col("lead").alias("rep")), ["bucket", "rep"], "left_anti")
     names = components(links) if links.take(1) else None
     if names is not None:
-        members = held.groupBy("rep", "comp").agg(F.collect_list("bucket").alias("buckets"))
-        held = _named(members, names).select(F.explode("buckets").alias("bucket"), "rep", "comp")
+        members = held.groupBy("rep", "comp").agg(F.collect_list(F.struct("bucket", *at)).alias("buckets"))
+        held = _named(members, names).select(F.explode("buckets").alias("in"), "rep", "comp").select("in.*", "rep", "comp")
     if dealt is not None:
-        dealt = dealt.select("rep", F.col("rep").alias("comp"), "keys")
+        dealt = dealt.withColumn("comp", F.col("rep"))
         dealt = dealt if names is None else _named(dealt, names)
-        held = held.select("bucket", "rep", "comp").unionByName(dealt.select(F.explode("keys").alias("bucket"), "rep", "comp"))
+        dealt = dealt.select(F.explode(F.arrays_zip("keys", "places")).alias("in"), "rep", "comp", "distance", "size")
+        dealt = dealt.select(F.col("in.keys").alias("bucket"), "rep", "comp", F.struct(F.col("in.places").alias("place"), "distance", "size").alias("at"))
+        held = held.select("bucket", "rep", "comp").unionByName(dealt, allowMissingColumns=True)
     if names is not None:  # written, as what follows reads it twice
         held = save(held, "named")
-    return _several(held.select("bucket", "rep", "comp"), "comp")
+    return _several(held, "comp")
 
 
 def _pivots(leaders: DataFrame, compared: DataFrame, degree: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -314,7 +327,7 @@ def _pivots(leaders: DataFrame, compared: DataFrame, degree: DataFrame, buckets:
 
 
 def deal_keys(own: np.ndarray, common: np.ndarray, times: np.ndarray, pivot: np.ndarray, pivot_common: np.ndarray, pivot_times: np.ndarray, named: int, members: int, similarity: float):
-    """A member's similarity to its pivot and the keys of the buckets that it is dealt to; see ``_deal``."""
+    """A member's similarity to its pivot, its distance, the keys of the buckets that it is dealt to and its places in them; see ``_deal``."""
     extra = ~np.isin(common, pivot, assume_unique=True)
     lost = np.setdiff1d(pivot, own, assume_unique=True)
     both = len(pivot) - len(lost)
@@ -330,25 +343,18 @@ def deal_keys(own: np.ndarray, common: np.ndarray, times: np.ndarray, pivot: np.
     elements = elements[np.lexsort((elements, rarity))].view(_U)
     alone = distance - len(elements)  # shingles of the member alone come first and name no bucket
     alike = both / max(1, len(own) + len(pivot) - both)
+    # the least distance of a partner; two that are similar to the pivot need not meet, and who is not has one above far
     slack = len(own) * (1 - similarity) / similarity
-    # two that are similar to the pivot need not meet; who is not has a distance above this
     far = (1 - similarity) / (1 + similarity) * (similarity * len(own) + len(pivot)) if alike >= similarity else 0
-    width = max(4, len(pivot) // 20)
-    own_class, keys = distance // width, []
-    for other in range(max(0, int((distance - slack) // width)), int((distance + slack) // width) + 1):
-        if (other + 1) * width - 1 < far - 1e-6:
-            continue
-        needed = max(1, math.ceil((distance + other * width - slack) / 2 - 1e-9))
-        prefix = distance - needed + 1 - alone
-        if prefix > 0:
-            a, b = min(other, own_class), max(other, own_class)
-            keys.append(_mix(_mix(np.array([named, a, b], np.int64).view(_U)) * _BASE).sum(dtype=_U) + elements[:prefix])
-    keys = np.unique(_mix(np.concatenate(keys))) if keys else np.zeros(0, _U)
-    return alike, keys.view(np.int64)
+    least = max(0, distance - slack, far - 1e-6)
+    needed = max(1, math.ceil((distance + least - slack) / 2 - 1e-9))
+    prefix = max(0, distance - needed + 1 - alone) if least <= distance + slack + 1e-6 else 0
+    keys, first = np.unique(_mix(_mix(np.array([named], np.int64).view(_U)) + elements[:prefix]).view(np.int64), return_index=True)
+    return alike, distance, keys, (alone + first + 1).astype(np.int32)
 
 
 def _deal(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``pivot, rep, sim, keys``: of members ``pivot, rep`` the similarity to the pivot and the buckets of the pairs that can be similar.
+    """``pivot, rep, sim, distance, size, keys, places``: of members ``pivot, rep`` the similarity to the pivot, and the buckets and places of the pairs that can be similar.
 
     A member's difference is the set of shingles that it or the pivot has alone.
     Two members differ in what their differences differ in. Texts of n and m
@@ -356,10 +362,12 @@ def _deal(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     most, so their differences, of d and e elements, share (d + e - b) / 2 or
     more. If that is not above 0, both are similar to the pivot, and are linked
     by it. Otherwise they share one of the rarest elements of both: all but as
-    many as are needed, less one (prefix filter). As e bounds the need, members
-    meet by classes of e; the buckets of a class pair are theirs alone. Rare is
-    by the number of documents with a shingle, or of members without it; a
-    shingle that nobody else has names no bucket.
+    many as are needed, less one (prefix filter). A member is in the bucket of
+    each element that the least need of any partner leaves to it, once; which
+    two of a bucket meet is then told by the need of these two and their places
+    of the element (see ``_may_meet``). Rare is by the number of documents with
+    a shingle, or of members without it; a shingle that nobody else has names
+    no bucket.
     """
     size = crowd.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"))
     mine = sets.select("rep", F.col("grams").alias("x"), F.col("common.gram").alias("xg"), F.col("common.c").alias("xc"))
@@ -372,10 +380,11 @@ def _deal(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             for p, members, x, xg, xc, y, yg, yc in zip(*(pdf[c] for c in ("pivot", "members", "x", "xg", "xc", "y", "yg", "yc")), strict=True):
                 order = np.argsort(yg, kind="stable")
                 out.append(deal_keys(x, xg, xc, np.asarray(y), yg[order], yc[order], p, members, similarity))
-            yield pd.DataFrame({"pivot": pdf["pivot"], "rep": pdf["rep"], "sim": [s for s, _ in out], "keys": [k for _, k in out]})
+            sim, distance, named, places = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pd.DataFrame({"pivot": pdf["pivot"], "rep": pdf["rep"], "sim": sim, "distance": distance, "size": [len(x) for x in pdf["x"]], "keys": named, "places": places})
         release()
 
-    return rows.mapInPandas(keys, "pivot long, rep long, sim double, keys array<bigint>")
+    return rows.mapInPandas(keys, "pivot long, rep long, sim double, distance int, size int, keys array<bigint>, places array<int>")
 
 
 def near_duplicates(
@@ -415,7 +424,7 @@ def near_duplicates(
     # 4. the best connected first
     pairs = docs.sparkSession.createDataFrame([], "a long, b long")
     if held.take(1):
-        leaders, compared = _meet(held.join(degree, "rep").withColumn("place", F.struct(-F.col("degree"), "rep")), sets, 1)
+        leaders, compared = _meet(held.join(degree, "rep").withColumn("place", F.struct(-F.col("degree"), "rep")), sets, 1, similarity)
         pairs = compared.where(F.col("sim") >= similarity).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
         held = save(_left(held, leaders, pairs), "buckets")
         held, dealt = _crowded(held, sets, leaders, compared, degree, similarity, crowd)
@@ -426,7 +435,7 @@ def near_duplicates(
     # 5. rounds of leaders
     while held.take(1):
         mates = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("mates"))
-        leaders, compared = _meet(held.join(mates, ["bucket", "comp"]).withColumn("place", F.struct("mates", "rep")), sets, LEADERS)
+        leaders, compared = _meet(held.join(mates, ["bucket", "comp"]).withColumn("place", F.struct("mates", "rep")), sets, LEADERS, similarity)
         links = compared.where(F.col("sim") >= similarity)
         pairs = pairs.union(links.select("lead", "rep"))
         held = save(_left(held, leaders, links.select(F.col("led").alias("a"), F.col("comp").alias("b"))), "buckets")

@@ -158,6 +158,29 @@ def test_near_dedup_deal_keeps_every_similar_pair(spark, similarity):
     assert want and want <= met and len(met) < 90 * 89 / 2
 
 
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_near_dedup_deals_a_member_once_by_an_element(spark, similarity):
+    """A member has no more buckets than shingles that it or the pivot has alone; by the places in them all similar pairs still meet."""
+    rows = crowded_rows()
+    sets = {i: shingle_set(t) for i, t in rows}
+    grams = near_dedup.shingle_sets(spark.createDataFrame([(i, "t", t) for i, t in rows], "dk long, tk string, text string"))
+    grams = near_dedup.frequencies(grams.withColumn("sid", F.col("rep"))).cache()
+    crowd = spark.createDataFrame([(0, i) for i, _ in rows[1:]], "pivot long, rep long")
+    dealt = near_dedup._deal(crowd, grams, similarity).cache()
+    near = {}
+    for r in dealt.collect():
+        near[r["rep"]] = r["sim"]
+        assert len(set(r["keys"])) == len(r["keys"]) <= len(sets[0] ^ sets[r["rep"]])
+    held = spark.createDataFrame([], "bucket long, rep long, comp long")
+    held = near_dedup._left(held, None, spark.createDataFrame([], "a long, b long"), dealt).select("bucket", "rep", "at")
+    other = held.select("bucket", F.col("rep").alias("b"), F.col("at").alias("to"))
+    pairs = held.join(other, "bucket").where((F.col("rep") < F.col("b")) & near_dedup._may_meet(F.col("at"), F.col("to"), similarity))
+    met = {(r["rep"], r["b"]) for r in pairs.select("rep", "b").distinct().collect()}
+    alike = {p for p in itertools.combinations([i for i, _ in rows[1:]], 2) if jaccard(sets[p[0]], sets[p[1]]) >= similarity}
+    want = {(a, b) for a, b in alike if near[a] < similarity or near[b] < similarity}
+    assert want and want <= met and len(met) < 89 * 88 / 2
+
+
 def test_near_dedup_names_a_member_once_not_in_each_bucket(spark, monkeypatch):
     """As many rows meet the components' names as there are members, however many buckets they are in."""
     saved, save = [], near_dedup.save
