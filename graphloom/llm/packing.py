@@ -16,17 +16,20 @@ cut, never shortened; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, slices
-from .token_binary import END_ID, worker_cache
+from .common import release, save, slices
+from .token_binary import END_ID, drop_caches, worker_cache
 
 LENGTHS = (512, 1024, 2048, 4096)
 GROUP = 20_000
 GROUP_TOKENS = 6_000_000
+OUT_ROWS = 256  # pieces whose ids a worker hands over at once, in 8 bytes each
 
 
 def cost(length: int, largest: int) -> float:
@@ -104,6 +107,28 @@ def token_pieces(docs: DataFrame, largest: int, id_col: str, text_col: str, toke
     return rows.mapInArrow(cut, f"rid long, doc_id {kind}, piece int, first_token long, n_tokens int, ids binary")
 
 
+def pack_batches(batches, lengths: tuple[int, ...], tokens: bool):
+    """One group's pieces, packed: record batches, with ``tokens`` of ``OUT_ROWS`` pieces. The ids stay in the given batches until then."""
+    held = list(batches)
+    rows = pa.Table.from_batches([b.select(["rid", "doc_id", "piece", "first_token", "n_tokens", "g"]) for b in held])
+    ids = pa.chunked_array([b.column("ids") for b in held]) if tokens else None
+    rows = rows.append_column("at", pa.array(np.arange(rows.num_rows)))
+    rows = rows.sort_by([("n_tokens", "descending"), ("rid", "ascending"), ("piece", "ascending")])
+    bins, offsets, final = pack_group(rows["n_tokens"].to_pylist(), lengths)
+    base = rows["g"][0].as_py() << 32
+    columns = {c: rows[c] for c in ("doc_id", "piece", "first_token", "n_tokens")}
+    columns |= {"bin": pa.array([base + b for b in bins], pa.int64()), "bin_size": pa.array([final[b] for b in bins], pa.int32()), "offset": pa.array(offsets, pa.int32())}
+    out = pa.table(columns)
+    step = OUT_ROWS if tokens else out.num_rows
+    for a in range(0, out.num_rows, step):
+        part = out.slice(a, step)
+        if tokens:
+            own = np.frombuffer(b"".join([ids[i].as_buffer() for i in rows["at"].slice(a, step).to_pylist()]), "<u4")
+            ends = np.concatenate(([0], np.cumsum(part["n_tokens"].to_numpy()))).astype(np.int32)
+            part = part.append_column("tokens", pa.ListArray.from_arrays(pa.array(ends), pa.array(own.astype(np.int64))))
+        yield from part.combine_chunks().to_batches()
+
+
 def pack(
     docs: DataFrame,
     lengths=LENGTHS,
@@ -123,17 +148,10 @@ def pack(
     items = items.withColumn("g", F.pmod(F.xxhash64("rid", "piece"), F.lit(groups)))
     kind = dict(items.dtypes)["doc_id"]
 
-    def packed(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n_tokens", "descending"), ("rid", "ascending"), ("piece", "ascending")])
-        bins, offsets, final = pack_group(table["n_tokens"].to_pylist(), lengths)
-        base = table["g"][0].as_py() << 32
-        columns = {c: table[c] for c in ("doc_id", "piece", "first_token", "n_tokens")}
-        columns |= {"bin": pa.array([base + b for b in bins], pa.int64()), "bin_size": pa.array([final[b] for b in bins], pa.int32()), "offset": pa.array(offsets, pa.int32())}
-        if tokens:
-            data = table["ids"].to_pylist()
-            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in data]))).astype(np.int32)
-            columns["tokens"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int64)))
-        return pa.table(columns)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
+        yield from pack_batches(batches, lengths, tokens)
+        release()
 
     schema = f"doc_id {kind}, piece int, first_token long, n_tokens int, bin long, bin_size int, offset int" + (", tokens array<bigint>" if tokens else "")
     return (items if tokens else items.drop("ids")).groupBy("g").applyInArrow(packed, schema)

@@ -132,6 +132,13 @@ def worker_cache(tokenizer_path: str | None, end_id: int) -> WordCache | WholeTe
     return caches[key]
 
 
+def drop_caches() -> None:
+    """Frees what ``worker_cache`` holds in this process, for tasks that encode nothing."""
+    state = sys.modules.get("_graphloom_worker")
+    if state is not None:
+        state.__dict__.pop("words", None)
+
+
 def _fs(uri: str):
     """File system and path of a folder; local folders are memory-mapped, others read whole."""
     if "://" not in uri and not uri.startswith("file:"):

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -597,6 +598,23 @@ def test_packing(spark):
         assert r["doc_ids"] == [p[1] for p in parts] and r["starts"] == [p[0] for p in parts]
 
 
+def test_packing_hands_over_few_ids_at_once():
+    rng = np.random.default_rng(8)
+    n = rng.integers(1, 4097, 2000)
+    own = [rng.integers(0, 49_000, x).astype("<u4") for x in n]
+    table = pa.table({"rid": pa.array(np.arange(2000) // 2), "doc_id": pa.array([None, *range(1, 2000)], pa.int64()), "piece": pa.array(np.arange(2000) % 2, pa.int32()), "first_token": pa.array(np.zeros(2000, np.int64)), "n_tokens": pa.array(n, pa.int32()), "ids": pa.array([x.tobytes() for x in own], pa.binary()), "g": pa.array(np.full(2000, 3))})
+    batches = list(packing.pack_batches(iter(table.to_batches(max_chunksize=700)), packing.LENGTHS, True))
+    assert max(b.num_rows for b in batches) <= packing.OUT_ROWS and max(b.nbytes for b in batches) < 0.3 * 8 * n.sum()
+    out = pa.Table.from_batches(batches)
+    got = {d or 0: (t, b, at) for d, t, b, at in zip(*(out[c].to_pylist() for c in ("doc_id", "tokens", "bin", "offset")), strict=True)}
+    assert len(got) == out.num_rows == 2000 and all(got[i][0] == own[i].tolist() for i in range(2000))
+    order = sorted(range(2000), key=lambda i: (-n[i], i))
+    bins, offsets, _ = packing.pack_group([int(n[i]) for i in order], packing.LENGTHS)
+    assert [got[i][1:] for i in order] == [((3 << 32) + b, at) for b, at in zip(bins, offsets, strict=True)]
+    plain = list(packing.pack_batches(iter(table.to_batches()), packing.LENGTHS, False))
+    assert len(plain) == 1 and plain[0].equals(out.drop_columns("tokens").combine_chunks().to_batches()[0])
+
+
 def naive_best_fit(sizes, lengths):
     """Best-fit decreasing by looking at every open bin, for each opening rule; the least cost after downsizing."""
     costs = {x: packing.cost(x, max(lengths)) for x in lengths}
