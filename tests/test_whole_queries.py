@@ -148,3 +148,20 @@ def test_a_join_by_few_keys_is_shared_by_all_tasks(spark):
     tasks = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(tasks) > spark.sparkContext.defaultParallelism and max(tasks) < sum(tasks) / 4
     assert rows_of(got.collect()) == by_sql("join_rel_payload")
+
+
+def test_a_join_by_few_keys_is_small_by_the_columns_it_asks_for(spark, monkeypatch):
+    wide = graph_queries.load_graph(spark, FOLDER).nodes("Customer").df
+    monkeypatch.setattr(traverse, "SMALL", int(wide._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) - 1)
+    test_a_join_by_few_keys_is_shared_by_all_tasks(spark)
+
+
+def test_a_join_by_few_keys_repeats_few_rows_at_a_time(spark):
+    """Any thousand rows that follow one another hold few inner rows, which columnar files keep in few bytes."""
+    reg = Registry().add(NodeType("A"), EdgeType("R", "A", "A"))
+    nodes = spark.range(102).select(F.col("id").alias("_nid"), F.array(F.lit("A")).alias("_labels"), F.when(F.col("id") < 100, F.col("id") % 2).alias("k"))
+    edges = spark.range(5000).select(F.col("id").alias("_eid"), F.lit("R").alias("_type"), F.lit(0).cast("long").alias("_src"), F.lit(0).cast("long").alias("_dst"), F.when(F.col("id") % 5 > 0, F.col("id") % 5 - 1).alias("k"))
+    g = PropertyGraph(spark, reg, {"A": nodes}, {"R": edges})
+    got = g.nodes("A").join(g.relationships("R"), lambda a: a.k, lambda r: r.k, lambda a, r: {"a": a["_nid"], "r": r["_eid"]}).to_df().toArrow().to_pylist()
+    assert sorted((x["a"], x["r"]) for x in got) == sorted((a, r) for a in range(100) for r in range(5000) if r % 5 == a % 2 + 1)
+    assert max(len({x["r"] for x in got[i : i + 1000]}) for i in range(0, len(got), 1000)) < 200
