@@ -165,3 +165,28 @@ def test_a_join_by_few_keys_repeats_few_rows_at_a_time(spark):
     got = g.nodes("A").join(g.relationships("R"), lambda a: a.k, lambda r: r.k, lambda a, r: {"a": a["_nid"], "r": r["_eid"]}).to_df().toArrow().to_pylist()
     assert sorted((x["a"], x["r"]) for x in got) == sorted((a, r) for a in range(100) for r in range(5000) if r % 5 == a % 2 + 1)
     assert max(len({x["r"] for x in got[i : i + 1000]}) for i in range(0, len(got), 1000)) < 200
+
+
+@pytest.fixture
+def wide(spark, monkeypatch):
+    """No table is small by its bytes, for us or for Spark."""
+    monkeypatch.setattr(traverse, "SMALL", 0)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def above_the_search(df):
+    """What the plan does with what workers have found."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow search" in plan
+    return plan.partition("MapInArrow search")[0]
+
+
+def test_shortest_paths_between_wide_nodes_are_not_shuffled(spark, wide):
+    got = graph_queries.QUERIES["shortest"](spark, FOLDER)
+    assert above_the_search(got).count("BroadcastHashJoin") == 2 and "Exchange" not in above_the_search(got)
+    edges = [tuple(r) for r in graph_queries.load_graph(spark, FOLDER).relationships("REFERS").select(lambda r: {"eid": r["_eid"], "a": r["_src"], "b": r["_dst"]}).to_df().collect()]
+    shift = graph_queries.load_graph(spark, FOLDER).nodes("Customer").select(lambda n: n["_nid"] - n.c_custkey).to_df().first()[0]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((s - shift, d - shift, len(p[0])) for (s, d), p in brute_shortest(edges).items())
