@@ -190,3 +190,12 @@ def test_shortest_paths_between_wide_nodes_are_not_shuffled(spark, wide):
     edges = [tuple(r) for r in graph_queries.load_graph(spark, FOLDER).relationships("REFERS").select(lambda r: {"eid": r["_eid"], "a": r["_src"], "b": r["_dst"]}).to_df().collect()]
     shift = graph_queries.load_graph(spark, FOLDER).nodes("Customer").select(lambda n: n["_nid"] - n.c_custkey).to_df().first()[0]
     assert sorted(tuple(r) for r in got.collect()) == sorted((s - shift, d - shift, len(p[0])) for (s, d), p in brute_shortest(edges).items())
+
+
+def test_shortest_paths_to_some_wide_endpoints_are_not_shuffled(spark, wide):
+    got = graph_queries.QUERIES["shortest_predicate"](spark, FOLDER)
+    assert above_the_search(got).count("BroadcastHashJoin") == 2 and "Exchange" not in above_the_search(got)
+    people = graph_queries.load_graph(spark, FOLDER).nodes("Customer")
+    building = {r["c_custkey"] for r in people.to_df().collect() if r["c_mktsegment"] == "BUILDING"}
+    every = [tuple(r) for r in graph_queries.QUERIES["shortest"](spark, FOLDER).collect()]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(x for x in every if x[1] in building)
