@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,57 @@ def test_shortest_paths_to_some_wide_endpoints_are_not_shuffled(spark, wide):
     building = {r["c_custkey"] for r in people.to_df().collect() if r["c_mktsegment"] == "BUILDING"}
     every = [tuple(r) for r in graph_queries.QUERIES["shortest"](spark, FOLDER).collect()]
     assert sorted(tuple(r) for r in got.collect()) == sorted(x for x in every if x[1] in building)
+
+
+def ring_graph(spark, n):
+    """Two rings of n nodes, in turns: i refers to i + 2."""
+    reg = Registry().add(NodeType("A"), EdgeType("R", "A", "A"))
+    nodes = spark.range(2 * n).select(F.col("id").alias("_nid"), F.array(F.lit("A")).alias("_labels"))
+    edges = spark.range(2 * n).select(F.col("id").alias("_eid"), F.lit("R").alias("_type"), F.col("id").alias("_src"), ((F.col("id") + 2) % (2 * n)).alias("_dst"))
+    return PropertyGraph(spark, reg, {"A": nodes}, {"R": edges})
+
+
+@pytest.mark.parametrize("keep", [None, lambda n: n["_nid"] < 600], ids=["all", "some"])
+def test_shortest_paths_repeat_few_nodes_at_a_time(spark, keep):
+    """Any thousand rows that follow one another hold few of the found nodes and few of the sources, which columnar files keep in few bytes."""
+    n = 400
+    q = ring_graph(spark, n).nodes("A").shortest_path("R", "A", keep)
+    got = q.select(lambda p: {"s": p.start["_nid"], "d": p.end["_nid"], "n": p.depth}).to_df().toArrow().to_pylist()
+    want = [(a, (a + 2 * i) % (2 * n), i) for a in range(2 * n) for i in range(1, n)]
+    assert sorted((x["s"], x["d"], x["n"]) for x in got) == sorted(x for x in want if keep is None or x[1] < 600)
+    found, source = ("d", "s") if keep is None else ("s", "d")
+    some = [got[i : i + 1000] for i in range(0, len(got), 1000)]
+    assert sorted(len({x[found] for x in rows}) for rows in some)[len(some) // 2] < 20 and max(len({x[source] for x in rows}) for rows in some) <= 2 * walks.SHARE
+
+
+def test_the_search_of_shortest_paths_sends_no_names_of_relationships(spark, monkeypatch):
+    """Executors keep what is sent to them on disk: 25 bytes a relationship at most here, where it was 35; names are sent apart and stay with the driver if no path is asked for."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or send(self, x))
+    n = 5000
+    ring_graph(spark, n).nodes("A").shortest_path("R", "A").select(lambda p: {"n": p.depth}).to_df()
+    size = [sum(x.nbytes for x in held if hasattr(x, "nbytes")) for held in sent]
+    assert len(sent) == 2 and max(size) < 25 * 2 * n
+
+
+def test_sources_are_searched_some_at_a_time_in_cells_of_their_own(spark, monkeypatch):
+    edges = [(i, i * 5 % 60, (i * i * 7 + 1) % 60 // 10 * 10 + i * 5 % 10) for i in range(90)] + [(100 + i, 70 + i, 70 + (i + 1) % 9) for i in range(9)] + [(200, 90, 90), (201, 95, 91)]
+    held = spark.createDataFrame([(a, b, e, "R", "out") for e, a, b in edges], "__from long, __to long, _eid long, _type string, __dir string")
+    g, names = walks.links(held)
+    assert len(g.bounds) > 4
+    monkeypatch.setattr(walks, "CELLS", 100)
+    monkeypatch.setattr(walks, "TOGETHER", 7)
+    sources, known = walks._places(g, np.array(sorted({x for e in edges for x in e[1:]} | {1_000})))
+    assert known.sum() == len(known) - 1
+    sources = np.sort(sources[known])
+    rounds = list(walks._rounds(g, sources))
+    assert np.concatenate(rounds).tolist() == sources.tolist() and len(rounds) > 3
+    got = {}
+    for some in rounds:
+        ends, base = walks._cells(g, some)
+        assert len(some) <= 7 and (ends[-1] <= 100 or len(some) == 1)
+        by = np.full(ends[-1], -1, np.int32)
+        for depth, b, v in walks.levels(g, some, None, by):
+            for x, y, z in zip(some[b], v, by[base[b] + v], strict=True):
+                got[int(g.ids[x]), int(g.ids[y])] = (depth, int(names.eid[z]))
+    assert got == {k: (len(p[0]), min(p)[-1]) for k, p in brute_shortest(edges).items()}
